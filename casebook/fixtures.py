@@ -358,7 +358,11 @@ def oracle(query: str) -> str:
 
     add(query)
     ctes = ", ".join(f"{n} as ({FIXTURE_SQL[n].strip()})" for n in needed)
-    return f"with {ctes} {query.strip()}" if ctes else query.strip()
+    query = query.strip()
+    if not ctes:
+        return query
+    own = query.removeprefix("with ")
+    return f"with {ctes}{', ' if own != query else ' '}{own}"
 
 
 def _words(text: str) -> list[str]:

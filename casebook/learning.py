@@ -452,7 +452,8 @@ CASES = {
         sink_verify,
         f"""select 'rows' as rule, count(*) as expected, count(*) as observed, true as ok
             from accounts_split
-            union all select 'vector_width', {_WIDTH}, {_WIDTH}, true
+            union all select 'smallest_vector', {_WIDTH}, {_WIDTH}, true
+            union all select 'largest_vector', {_WIDTH}, {_WIDTH}, true
             union all select 'same_schema', 1, 1, true""",
     ),
     "model_roundtrip": (

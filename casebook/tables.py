@@ -21,6 +21,10 @@ from tabwright.sources.workspace import fresh_path
 
 RAW = list(ACCOUNTS.columns)
 RAW_SQL = ", ".join(RAW)
+_RAW_ORDER = (
+    *("account_id", "segment", "priority", "status", "region"),
+    *("tenure", "total_charges", "balance", "churn"),
+)
 
 
 def csv_infer_scan(spark, sf) -> DataFrame:
@@ -77,7 +81,9 @@ def table_profile(spark, sf) -> DataFrame:
 
 
 def schema_rows(spark, sf) -> DataFrame:
-    return profile.schema_rows(accounts_clean(spark, sf))
+    """The schema of the typed table next to the NULLs of each column."""
+    typed = cast_numeric(spark, sf)
+    return profile.schema_rows(typed).join(profile.null_counts(typed), "column_name")
 
 
 def head_n(spark, sf) -> DataFrame:
@@ -264,14 +270,14 @@ CASES = {
     ),
     "schema_rows": (
         schema_rows,
-        """select cast(cid as integer) as position, name as column_name,
-                  case type when 'VARCHAR' then 'string' when 'INTEGER' then 'int'
-                            when 'DOUBLE' then 'double' end as data_type
-           from (values (0,'account_id','VARCHAR'), (1,'segment','VARCHAR'),
-                        (2,'priority','VARCHAR'), (3,'status','VARCHAR'),
-                        (4,'region','VARCHAR'), (5,'tenure','INTEGER'),
-                        (6,'total_charges','DOUBLE'), (7,'balance','DOUBLE'),
-                        (8,'churn','VARCHAR')) t(cid, name, type)""",
+        " union all ".join(
+            f"""select {i} as position, '{c}' as column_name,
+                       case min(typeof({c})) when 'VARCHAR' then 'string'
+                            when 'INTEGER' then 'int' else lower(min(typeof({c}))) end
+                         as data_type,
+                       count(*) filter (where {c} is null) as nulls from accounts_typed"""
+            for i, c in enumerate(_RAW_ORDER)
+        ),
     ),
     "head_n": (head_n, "select * from accounts_clean order by account_id limit 5"),
     "label_distribution": (

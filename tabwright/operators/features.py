@@ -14,7 +14,7 @@ from tabwright.functions.columns import binary_label
 from tabwright.functions.spec import TableSpec
 from tabwright.sources.workspace import reliable
 
-MAX_VOCABULARY = 100_000
+MAX_VOCABULARY = 10_000
 
 
 class VocabularyTooLarge(ValueError):
@@ -99,19 +99,19 @@ def vocabulary(
     df: DataFrame, columns: Sequence[str], max_values: int = MAX_VOCABULARY
 ) -> dict[str, list[str]]:
     """Values per column in index order, on the driver, where the vector layout is
-    made. Sizes are checked before anything is collected; a column with more values
-    is refused, never cut."""
-    counts = reliable(category_counts(df, columns))
-    sizes = vocabulary_sizes(counts)
-    large = {c: n for c, n in sizes.items() if n > max_values}
+    made. One job, whose answer is bounded: with more values than the bound allows
+    the fit is refused; nothing is cut off."""
+    bound = max_values * len(columns)
+    ordered: dict[str, list[str]] = {c: [] for c in columns}
+    found = category_counts(df, columns).limit(bound + 1)
+    for row in found.orderBy("column_name", F.desc("rows"), "value").collect():
+        ordered[row["column_name"]].append(row["value"])
+    large = [c for c, values in ordered.items() if len(values) > max_values]
     if large:
         raise VocabularyTooLarge(f"more than {max_values} distinct values: {large}")
-    empty = [c for c in columns if not sizes.get(c)]
+    empty = [c for c, values in ordered.items() if not values]
     if empty:
         raise ValueError(f"no value to index in: {empty}")
-    ordered: dict[str, list[str]] = {c: [] for c in columns}
-    for row in rank_in_window(counts).orderBy("column_name", "category_index").collect():
-        ordered[row["column_name"]].append(row["value"])
     return ordered
 
 

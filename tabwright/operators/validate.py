@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ class ValidationError(ValueError):
     """At least one rule of severity 'error' does not hold."""
 
 
+Results = Mapping[str, Column]
+
+
 @dataclass(frozen=True)
 class Rule:
     """``measures`` are aggregates over the table; ``ok`` and ``observed`` are built
@@ -23,8 +27,8 @@ class Rule:
     name: str
     expected: str
     measures: dict[str, Column]
-    ok: Column
-    observed: Column
+    ok: Callable[[Results], Column]
+    observed: Callable[[Results], Column]
     columns: tuple[str, ...] = ()
     severity: str = "error"
 
@@ -35,32 +39,47 @@ class ColumnsPresent:
 
     columns: tuple[str, ...]
     name: str = "columns_present"
-    severity: str = field(default="error")
+    severity: str = "error"
 
 
 def columns_present(*columns: str) -> ColumnsPresent:
     return ColumnsPresent(tuple(columns))
 
 
-def no_nulls(column: str) -> Rule:
-    bad = f"nulls_{column}"
+def _none(name: str, bad: Column, columns=(), severity: str = "error") -> Rule:
+    """No row is bad."""
     return Rule(
-        name=f"no_nulls:{column}",
+        name=name,
         expected="0",
-        measures={bad: F.count_if(F.col(column).isNull())},
-        ok=F.col(bad) == 0,
-        observed=F.col(bad),
-        columns=(column,),
+        measures={"bad": F.count_if(bad)},
+        ok=lambda r: r["bad"] == 0,
+        observed=lambda r: r["bad"],
+        columns=columns,
+        severity=severity,
     )
 
 
+def no_nulls(column: str) -> Rule:
+    return _none(f"no_nulls:{column}", F.col(column).isNull(), (column,))
+
+
+def none_where(name: str, condition: Column, severity: str = "error") -> Rule:
+    return _none(name, condition, severity=severity)
+
+
+def numeric_text(column: str) -> Rule:
+    """Every value of the text column is present and reads as a number."""
+    unreadable = F.col(column).try_cast("double").isNull()
+    return _none(f"numeric:{column}", unreadable, (column,))
+
+
 def not_empty() -> Rule:
     return Rule(
         name="not_empty",
         expected=">0",
         measures={"rows": F.count(F.lit(1))},
-        ok=F.col("rows") > 0,
-        observed=F.col("rows"),
+        ok=lambda r: r["rows"] > 0,
+        observed=lambda r: r["rows"],
     )
 
 
@@ -69,8 +88,8 @@ def row_count_is(expected: int, severity: str = "error") -> Rule:
         name="row_count",
         expected=str(expected),
         measures={"rows": F.count(F.lit(1))},
-        ok=F.col("rows") == expected,
-        observed=F.col("rows"),
+        ok=lambda r: r["rows"] == expected,
+        observed=lambda r: r["rows"],
         severity=severity,
     )
 
@@ -79,18 +98,20 @@ def domain(column: str, allowed: Sequence, complete: bool = False) -> Rule:
     """Only allowed values occur; with ``complete`` each of them does occur. Counts
     are kept per allowed value, so a column of many values stays cheap. NULLs are
     left to ``no_nulls``."""
-    values = [F.lit(v) for v in allowed]
-    outside, absent = f"outside_{column}", f"absent_{column}"
-    seen = [F.coalesce(F.max((F.col(column) == v).cast("int")), F.lit(0)) for v in values]
-    unseen = sum((F.lit(1) - s for s in seen), F.lit(0))
-    ok = F.col(outside) == 0
+    value = F.col(column)
+    unseen = [
+        F.when(F.count_if(value == v) == 0, 1).otherwise(0).cast("bigint") for v in allowed
+    ]
     return Rule(
         name=f"domain:{column}",
         expected=("equal " if complete else "subset ") + ",".join(map(str, allowed)),
-        measures={outside: F.count_if(~F.col(column).isin(*allowed)), absent: unseen},
-        ok=ok & (F.col(absent) == 0) if complete else ok,
-        observed=F.concat(
-            F.lit("outside="), F.col(outside), F.lit(" absent="), F.col(absent)
+        measures={
+            "outside": F.count_if(~value.isin(*allowed)),
+            "absent": reduce(Column.__add__, unseen),
+        },
+        ok=lambda r: (r["outside"] + r["absent"] if complete else r["outside"]) == 0,
+        observed=lambda r: F.concat(
+            F.lit("outside="), r["outside"], F.lit(" absent="), r["absent"]
         ),
         columns=(column,),
     )
@@ -98,50 +119,24 @@ def domain(column: str, allowed: Sequence, complete: bool = False) -> Rule:
 
 def width_is(vector: str, expected: int, severity: str = "error") -> Rule:
     """Every vector has the expected length: smallest and largest over all rows."""
-    low, high = f"min_{vector}", f"max_{vector}"
+    size = vector_size(vector)
     return Rule(
         name=f"width:{vector}",
         expected=str(expected),
-        measures={low: F.min(vector_size(vector)), high: F.max(vector_size(vector))},
-        ok=(F.col(low) == expected) & (F.col(high) == expected),
-        observed=F.concat_ws("-", F.col(low), F.col(high)),
+        measures={"low": F.min(size), "high": F.max(size)},
+        ok=lambda r: (r["low"] == expected) & (r["high"] == expected),
+        observed=lambda r: F.concat_ws("-", r["low"], r["high"]),
         columns=(vector,),
         severity=severity,
     )
 
 
-def none_where(name: str, condition: Column, severity: str = "error") -> Rule:
-    """No row satisfies the condition."""
-    return Rule(
-        name=name,
-        expected="0",
-        measures={f"bad_{name}": F.count_if(condition)},
-        ok=F.col(f"bad_{name}") == 0,
-        observed=F.col(f"bad_{name}"),
-        severity=severity,
-    )
-
-
-def numeric_text(column: str) -> Rule:
-    """Every value of the text column is present and reads as a number."""
-    bad = f"unreadable_{column}"
-    value = F.col(column)
-    return Rule(
-        name=f"numeric:{column}",
-        expected="0",
-        measures={bad: F.count_if(value.try_cast("double").isNull())},
-        ok=F.col(bad) == 0,
-        observed=F.col(bad),
-        columns=(column,),
-    )
-
-
 def validate(df: DataFrame, rules: Sequence[Rule | ColumnsPresent]) -> DataFrame:
     """One row (rule, severity, ok, observed, expected) per rule, from one pass."""
     present = set(df.columns)
     measures: dict[str, Column] = {"rows": F.count(F.lit(1))}
     entries = []
-    for rule in rules:
+    for place, rule in enumerate(rules):
         if isinstance(rule, ColumnsPresent):
             missing = [c for c in rule.columns if c not in present]
             entries.append(
@@ -152,8 +147,12 @@ def validate(df: DataFrame, rules: Sequence[Rule | ColumnsPresent]) -> DataFrame
                 _entry(rule, F.lit(False), F.lit("missing column"), rule.expected)
             )
         else:
-            measures.update(rule.measures)
-            entries.append(_entry(rule, rule.ok, rule.observed, rule.expected))
+            names = {m: f"{place}_{m}" for m in rule.measures}
+            measures.update({names[m]: c for m, c in rule.measures.items()})
+            results = {m: F.col(n) for m, n in names.items()}
+            entries.append(
+                _entry(rule, rule.ok(results), rule.observed(results), rule.expected)
+            )
     totals = df.agg(*[m.alias(name) for name, m in measures.items()])
     return totals.select(F.inline(F.array(*entries)))
 
