@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabwright.functions.layouts import TRIAL_STORE_COLUMNS, conform
 from tabwright.functions.spec import TableSpec
 from tabwright.operators.clean import clean
 from tabwright.operators.evaluate import metric_rows
@@ -137,26 +138,28 @@ def trial_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trials_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (scale, model, trial) with sizes, times and quality."""
-    events = trial_events(spark, sf_dir)
+    """One row per (scale, model, trial) with sizes, times and quality, all from one
+    pass over the events."""
     key = ["Scale_Factor", "Model", "Trial"]
-    sizes = events.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("Synthetic_Total_Rows"),
-        F.count_if(F.col("cents") >= 1000).alias("Training_Rows"),
-        F.sum("cents").alias("cents"),
+    grouped = metric_rows(
+        trial_events(spark, sf_dir),
+        key,
+        sums={
+            "Training_Rows": F.when(F.col("cents") >= 1000, 1).otherwise(0),
+            "total_cents": F.col("cents"),
+        },
     )
-    quality = metric_rows(events, key).drop("rows")
-    times = sizes.select(
-        *key,
-        F.expr("Synthetic_Total_Rows div Scale_Factor").alias("Base_Dataset_Rows"),
-        "Synthetic_Total_Rows",
-        "Training_Rows",
-        (F.col("Synthetic_Total_Rows") - F.col("Training_Rows")).alias("Testing_Rows"),
-        F.lit(45).alias("Feature_Count"),
-        F.round(F.col("cents") / 100, 6).alias("Training_Time_Seconds"),
-        F.round(F.col("cents") / 1000, 6).alias("Prediction_Time_Seconds"),
+    times = grouped.withColumns(
+        {
+            "Base_Dataset_Rows": F.expr("rows div Scale_Factor"),
+            "Synthetic_Total_Rows": F.col("rows"),
+            "Testing_Rows": F.col("rows") - F.col("Training_Rows"),
+            "Feature_Count": F.lit(45),
+            "Training_Time_Seconds": F.round(F.col("total_cents") / 100, 6),
+            "Prediction_Time_Seconds": F.round(F.col("total_cents") / 1000, 6),
+        }
     )
-    return with_throughput(times).join(quality, key)
+    return conform(with_throughput(times), TRIAL_STORE_COLUMNS)
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -76,18 +76,23 @@ def metric_rows(
     label: str = "label",
     prediction: str = "prediction",
     score: str = "raw_score",
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Counts, ratios and exact ROC-AUC per group from a single pass over the rows."""
+    """Counts, ratios and exact ROC-AUC per group from a single pass over the rows.
+    ``sums`` names further columns to add up per group on the way."""
+    sums = dict(sums or {})
     per_score = df.groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("_p"),
         F.count_if(F.col(label) == 0).alias("_n"),
         F.count(F.lit(1)).alias("rows"),
         *_cell_counts(label, prediction),
+        *[F.sum(c).alias(name) for name, c in sums.items()],
     )
-    totals = _from_scores(per_score, by, score, ["rows", *COUNTS])
+    totals = _from_scores(per_score, by, score, ["rows", *COUNTS, *sums])
     return with_metrics(totals).select(
         *by,
         "rows",
+        *sums,
         *[
             F.round(c, 6).alias(c)
             for c in ("Accuracy", "Precision_Churn", "Recall_Churn")
@@ -160,8 +165,11 @@ def best_models(
         ]
     )
     rows = [
-        F.struct(F.lit(m).alias("measure"), F.col(m)["Model"].alias("Model"),
-                 F.col(m)["value"].alias("value"))
+        F.struct(
+            F.lit(m).alias("measure"),
+            F.col(m)["Model"].alias("Model"),
+            F.col(m)["value"].alias("value"),
+        )
         for m in measures
     ]
     return best.select(F.inline(F.array(*rows)))
@@ -181,12 +189,8 @@ def flat_scores(
     """The flat scored table. ``actual_label`` is there only if the input has a label;
     ``keep`` carries the key, so that a score can be joined to its row again."""
     probability = vector_to_array("probability")
-    return flat_columns(
-        scored.withColumns(
-            {"_no": probability[0], "_yes": probability[1]}
-        ),
-        "_no", "_yes", positive, negative, label, keep,
-    )
+    pair = scored.withColumns({"_no": probability[0], "_yes": probability[1]})
+    return flat_columns(pair, "_no", "_yes", positive, negative, label, keep)
 
 
 def flat_columns(

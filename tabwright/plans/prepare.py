@@ -66,9 +66,11 @@ def feature_rules(width: int, complete: bool) -> list:
 
 
 def store(prepared: Prepared, table_path: str, encoder_path: str) -> DataFrame:
-    """Write the feature table and the encoder; gate what was written. Checking the
-    stored table reads Parquet instead of cleaning the raw input once more."""
-    report = write_parquet_verified(prepared.features, table_path)
+    """Write the feature table, one folder per split, and the encoder; gate what was
+    written. The checks read Parquet instead of cleaning the raw input once more."""
+    report = write_parquet_verified(
+        prepared.features, table_path, partition_by=["split"]
+    )
     save_model(prepared.encoder, encoder_path)
     stored = prepared.features.sparkSession.read.parquet(table_path)
     enforce(validate(stored, feature_rules(prepared.width, complete=False)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,8 +70,7 @@ def run_sweep(
                 if not work:
                     continue
                 work.sort(key=lambda r: (list(models).index(r["Model"]), r["Trial"]))
-                larger = (replicate(base_train, scale), replicate(base_test, scale))
-                with held(*larger) as (fit_rows, test_rows):
+                with _copies(base_train, base_test, scale) as (fit_rows, test_rows):
                     sizes = (base_rows, fit_rows.count(), test_rows.count())
                     for row in work:
                         _run_trial(row, fit_rows, test_rows, sizes, width, store)
@@ -89,6 +89,13 @@ def run_sweep(
     )
 
 
+def _copies(train: DataFrame, test: DataFrame, scale: int):
+    """Both tables ``scale`` times and held; the tables themselves at scale 1."""
+    if scale == 1:
+        return nullcontext((train, test))
+    return held(replicate(train, scale), replicate(test, scale))
+
+
 def _run_trial(row, fit_rows, test_rows, sizes, width: int, store: str) -> None:
     """Fit, predict, and append the trial row; quality is measured in trial 1 only."""
     name, spark = row["Model"], fit_rows.sparkSession
