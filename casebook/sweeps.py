@@ -36,7 +36,10 @@ def _summary(spark, sf) -> DataFrame:
 
 
 def trial_table(spark, sf) -> DataFrame:
-    return conform(trials(spark, sf).drop("Feature_Count"), TRIAL_COLUMNS)
+    """Without its feature count, which comes back as a typed NULL. It is shown as a
+    double, as frames of other engines hold NULLs among whole numbers differently."""
+    table = conform(trials(spark, sf).drop("Feature_Count"), TRIAL_COLUMNS)
+    return table.withColumn("Feature_Count", F.col("Feature_Count").cast("double"))
 
 
 def sweep_grid(spark, sf) -> DataFrame:
@@ -66,8 +69,9 @@ def trial_throughput(spark, sf) -> DataFrame:
 
 
 def trial_one_metrics(spark, sf) -> DataFrame:
-    return ops.metrics_in_first_trial(trials_all(spark, sf)).select(
-        *ops.TRIAL_KEY, *names_of(QUALITY_COLUMNS)
+    marked = ops.metrics_in_first_trial(trials_all(spark, sf))
+    return marked.select(
+        *ops.TRIAL_KEY, *[F.col(c).cast("double") for c in names_of(QUALITY_COLUMNS)]
     )
 
 
@@ -120,7 +124,7 @@ CASES = {
     "trial_table": (
         trial_table,
         f"""select {', '.join(c for c in names_of(TRIAL_COLUMNS) if c != 'Feature_Count')},
-                   cast(null as integer) as Feature_Count from trials""",
+                   cast(null as double) as Feature_Count from trials""",
     ),
     "sweep_grid": (sweep_grid, f"select * from {_GRID} g"),
     "grid_missing": (
@@ -140,7 +144,9 @@ CASES = {
     ),
     "trial_one_metrics": (
         trial_one_metrics,
-        f"select {_KEY}, {', '.join(names_of(QUALITY_COLUMNS))} from trials",
+        f"select {_KEY}, "
+        + ", ".join(f"cast({c} as double) as {c}" for c in names_of(QUALITY_COLUMNS))
+        + " from trials",
     ),
     "trial_pivot": (
         trial_pivot,

@@ -21,17 +21,13 @@ def declared_width(df: DataFrame, vector: str = "features") -> int | None:
     return df.schema[vector].metadata.get("ml_attr", {}).get("num_attrs")
 
 
-def vector_array(vector: str) -> Column:
-    """The vector as an array; NULL stays NULL, which the plain function refuses."""
-    return F.when(F.col(vector).isNotNull(), vector_to_array(F.col(vector)))
-
-
 def vector_size(vector: str) -> Column:
-    return F.size(vector_array(vector))
+    """The length of the vector; NULL stays NULL, which the array form refuses."""
+    size = F.size(vector_to_array(F.col(vector)))
+    return F.when(F.col(vector).isNotNull(), size)
 
 
 def flatten_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """One row per (key, slot): a narrow explode, no shuffle."""
-    return df.select(
-        F.col(key), F.posexplode(vector_array(vector)).alias("slot", "value")
-    )
+    """One row per (key, slot), none for a NULL vector: a narrow explode, no shuffle."""
+    cells = F.when(F.col(vector).isNotNull(), vector_to_array(F.col(vector)))
+    return df.select(F.col(key), F.posexplode(cells).alias("slot", "value"))

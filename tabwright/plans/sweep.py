@@ -20,6 +20,7 @@ from tabwright.operators.trials import (
     work_grid,
 )
 from tabwright.plans.train import force, timed
+from tabwright.sources.sinks import write_csv
 from tabwright.sources.tables import read_stored
 
 # The published grid.
@@ -89,6 +90,13 @@ def run_sweep(
     )
 
 
+def publish(trials: DataFrame, summary: DataFrame, folder: str) -> None:
+    """The two final tables as CSV, one file each: they have one row per trial and per
+    (scale, model). The store is not needed after that, and a new run takes its own."""
+    write_csv(trials.coalesce(1), f"{folder}/scalability_trials")
+    write_csv(summary.coalesce(1), f"{folder}/scalability_repeated_results")
+
+
 def _copies(train: DataFrame, test: DataFrame, scale: int):
     """Both tables ``scale`` times and held; the tables themselves at scale 1."""
     if scale == 1:

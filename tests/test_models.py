@@ -37,7 +37,7 @@ def regression(frames):
     return models.estimator("Logistic_Regression").fit(frames[0])
 
 
-def test_settings():
+def test_settings(spark):
     rf = models.estimator("Random_Forest")
     assert (rf.getNumTrees(), rf.getMaxDepth(), rf.getSeed()) == (50, 8, 42)
     assert models.estimator("Gradient_Boosted_Tree").getMaxIter() == 30

@@ -12,7 +12,7 @@ from tabwright.functions.layouts import (
 from tabwright.operators.sampling import held
 from tabwright.plans import sweep
 from tabwright.plans.prepare import prepare
-from tabwright.sources.tables import read_stored
+from tabwright.sources.tables import read_stored, read_stored_csv
 
 MODELS = ("Decision_Tree", "Logistic_Regression")
 
@@ -76,6 +76,13 @@ def test_sizes_grow_with_the_scale(spark, frames, tmp_path):
     assert (row["Training_Rows"], row["Testing_Rows"]) == (3 * base[0], 3 * base[1])
     assert row["Base_Dataset_Rows"] == sum(base)
     assert summary.first()["Std_Training_Time_Seconds"] == 0.0
+    sweep.publish(trials, summary, str(tmp_path / "final"))
+    for name, layout, table in (
+        ("scalability_trials", TRIAL_COLUMNS, trials),
+        ("scalability_repeated_results", SUMMARY_COLUMNS, summary),
+    ):
+        back = read_stored_csv(spark, str(tmp_path / "final" / name), layout)
+        assert rows(back) == rows(table)
 
 
 def test_incomplete_store_is_an_error(frames, tmp_path, monkeypatch):
