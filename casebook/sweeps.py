@@ -22,6 +22,7 @@ from tabwright.functions.layouts import (
 )
 from tabwright.operators import report
 from tabwright.operators import trials as ops
+from tabwright.operators.validate import validate
 
 MEASURES = ("Accuracy", "F1_Churn", "ROC_AUC")
 
@@ -42,6 +43,15 @@ def trial_table(spark, sf) -> DataFrame:
     return table.withColumn("Feature_Count", F.col("Feature_Count").cast("double"))
 
 
+def trial_gates(spark, sf) -> DataFrame:
+    """The gates on the trials, after trial 1 of one model has lost its quality."""
+    lost = (F.col("Model") == "view") & (F.col("Scale_Factor") == 5)
+    rows = trials(spark, sf).withColumn(
+        "Accuracy", F.when(~lost, F.col("Accuracy"))
+    )
+    return validate(rows, ops.trial_rules())
+
+
 def sweep_grid(spark, sf) -> DataFrame:
     return ops.work_grid(_models(spark, sf), SCALES, 3)
 
@@ -126,6 +136,24 @@ CASES = {
         f"""select {', '.join(c for c in names_of(TRIAL_COLUMNS) if c != 'Feature_Count')},
                    cast(null as double) as Feature_Count from trials""",
     ),
+    "trial_gates": (
+        trial_gates,
+        """
+with t as (select count(*) n,
+                  count(*) filter (where Trial=1 and (Accuracy is null or
+                                   (Model='view' and Scale_Factor=5))) bare,
+                  count(*) filter (where Training_Time_Seconds is null) no_fit,
+                  count(*) filter (where Prediction_Time_Seconds is null) no_predict
+           from trials)
+select 'not_empty' as rule, 'error' as severity, n > 0 as ok,
+       cast(n as varchar) as observed, '>0' as expected from t
+union all select 'first_trial_without_quality', 'error', bare = 0,
+                 cast(bare as varchar), '0' from t
+union all select 'no_nulls:Training_Time_Seconds', 'error', no_fit = 0,
+                 cast(no_fit as varchar), '0' from t
+union all select 'no_nulls:Prediction_Time_Seconds', 'error', no_predict = 0,
+                 cast(no_predict as varchar), '0' from t""",
+    ),
     "sweep_grid": (sweep_grid, f"select * from {_GRID} g"),
     "grid_missing": (
         grid_missing,

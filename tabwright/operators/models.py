@@ -43,6 +43,14 @@ def fit_models(
     return {name: estimator(name).fit(train) for name in names}
 
 
+def require_binary(model: Model) -> Model:
+    """The model itself, or an error unless its raw prediction has two entries. The
+    length is a property of the model, so no row has to be looked at."""
+    if model.numClasses != 2:
+        raise ValueError(f"a binary model is needed, this one has {model.numClasses} classes")
+    return model
+
+
 def score(df: DataFrame, model: Model) -> DataFrame:
     """The frame with rawPrediction, probability and prediction."""
     return model.transform(df)

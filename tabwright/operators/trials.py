@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import position_in, safe_ratio
 from tabwright.functions.layouts import QUALITY_COLUMNS, SUMMARY_COLUMNS, conform, names_of
+from tabwright.operators.validate import no_nulls, none_where, not_empty
 
 TRIAL_KEY = ("Scale_Factor", "Model", "Trial")
 GROUP_KEY = ("Scale_Factor", "Model")
@@ -72,6 +73,17 @@ def metrics_in_first_trial(trials: DataFrame) -> DataFrame:
     )
 
 
+def trial_rules() -> list:
+    """Gates of a trial table: quality in every first trial, times that can be read."""
+    first = F.col("Trial") == 1
+    return [
+        not_empty(),
+        none_where("first_trial_without_quality", first & F.col("Accuracy").isNull()),
+        no_nulls("Training_Time_Seconds"),
+        no_nulls("Prediction_Time_Seconds"),
+    ]
+
+
 def _in_trial(number: int, column: str) -> Column:
     return F.max(F.when(F.col("Trial") == number, F.col(column)))
 

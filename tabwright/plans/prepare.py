@@ -27,14 +27,26 @@ from tabwright.sources.sinks import write_parquet_verified
 
 @dataclass(frozen=True)
 class Prepared:
-    """Encoded rows with their split; the encoder was fitted on training rows."""
+    """Clean rows with their split, and the encoder fitted on the training rows."""
 
-    features: DataFrame
+    rows: DataFrame
     encoder: PipelineModel
-    width: int
+    spec: TableSpec
+
+    @property
+    def width(self) -> int:
+        return len(slots(self.encoder, self.spec))
+
+    @property
+    def features(self) -> DataFrame:
+        """All rows encoded, with their split."""
+        return encode(self.rows, self.encoder, self.spec, keep=["split"])
 
     def split(self, name: str) -> DataFrame:
-        return self.features.filter(F.col("split") == name).drop("split")
+        """One part encoded. Rows are chosen first: a filter behind the encoder would
+        stay there, and the rows of the other part would be encoded in vain."""
+        chosen = self.rows.filter(F.col("split") == name)
+        return encode(chosen, self.encoder, self.spec)
 
 
 def prepare(
@@ -42,15 +54,17 @@ def prepare(
     spec: TableSpec,
     train_percent: int = 80,
     max_vocabulary: int = MAX_VOCABULARY,
+    partitions: int | None = None,
 ) -> Prepared:
-    """Clean, split by key, fit the encoder on the training rows, encode all rows.
-    The only job is the count of categories; the rest stays lazy."""
+    """Clean, split by key, and fit the encoder on the training rows. The only job is
+    the count of categories; the rest stays lazy. ``partitions`` spreads the rows
+    evenly first, for input in a few files that cannot be split."""
     enforce(validate(raw.limit(0), [columns_present(*spec.columns)]))
+    if partitions:
+        raw = raw.repartition(partitions)
     rows = with_split(clean(raw, spec), spec.key, train_percent)
     train = rows.filter(F.col("split") == "train")
-    encoder = fit_encoder(train, spec, max_vocabulary)
-    features = encode(rows, encoder, spec, keep=["split"])
-    return Prepared(features, encoder, len(slots(encoder, spec)))
+    return Prepared(rows, fit_encoder(train, spec, max_vocabulary), spec)
 
 
 def feature_rules(width: int, complete: bool) -> list:

@@ -16,12 +16,15 @@ from tabwright.operators.trials import (
     in_sweep_order,
     missing_work,
     summarise,
+    trial_rules,
     with_throughput,
     work_grid,
 )
-from tabwright.plans.train import force, timed
+from tabwright.operators.validate import enforce, validate
+from tabwright.plans.train import force, needed, timed
 from tabwright.sources.sinks import write_csv
 from tabwright.sources.tables import read_stored
+from tabwright.sources.workspace import shared_dir
 
 # The published grid.
 SCALES = (1, 5, 10, 20, 50, 100)
@@ -61,7 +64,8 @@ def run_sweep(
     empty(spark, TRIAL_STORE_COLUMNS).write.mode("append").parquet(store)
     todo = pending(spark, store, scales, models, trials).collect()  # at most the grid
     if todo:
-        with held(train, test) as (base_train, base_test):
+        shared_dir(spark)  # boosting cuts its lineage there
+        with held(*needed(train, test)) as (base_train, base_test):
             base_rows = base_train.count() + base_test.count()
             if warm_up:
                 for name in sorted({r["Model"] for r in todo}):
@@ -83,6 +87,7 @@ def run_sweep(
         & F.col("Model").isin(*models)
         & (F.col("Trial") <= trials)
     )
+    enforce(validate(stored, trial_rules()))
     ordered = in_sweep_order(stored, scales, models)
     return (
         conform(ordered, TRIAL_COLUMNS),

@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.layouts import METRIC_COLUMNS, conform
 from tabwright.operators.evaluate import in_model_order, metric_rows
-from tabwright.operators.models import MODEL_NAMES, estimator, score, score_all
+from tabwright.operators.models import (
+    MODEL_NAMES,
+    estimator,
+    require_binary,
+    score,
+    score_all,
+)
 from tabwright.operators.sampling import held
 from tabwright.operators.trials import throughput
 from tabwright.operators.validate import enforce, validate
 from tabwright.plans.prepare import feature_rules
 from tabwright.sources.models import save_model
+from tabwright.sources.workspace import shared_dir
 
 
 def timed(action):
@@ -32,6 +39,11 @@ def force(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def needed(*frames: DataFrame) -> tuple[DataFrame, ...]:
+    """What a fit reads; keys and other columns are not worth holding in memory."""
+    return tuple(f.select("features", "label") for f in frames)
+
+
 def compare(
     train: DataFrame,
     test: DataFrame,
@@ -44,10 +56,12 @@ def compare(
     scored and evaluated in a single pass over the test rows."""
     models: dict[str, Model] = {}
     times = []
-    with held(train, test) as (fit_rows, test_rows):
+    shared_dir(train.sparkSession)  # boosting cuts its lineage there
+    with held(*needed(train, test)) as (fit_rows, test_rows):
         enforce(validate(fit_rows, feature_rules(width, complete=True)))
         for name in names:
             model, fit_seconds = timed(lambda: estimator(name).fit(fit_rows))
+            require_binary(model)
             _, predict_seconds = timed(lambda: force(score(test_rows, model)))
             times.append((name, fit_seconds, predict_seconds))
             models[name] = model

@@ -170,6 +170,13 @@ def test_missing_input_column(spark):
         prepare(accounts_raw(spark, SF).drop("tenure"), ACCOUNTS)
 
 
+def test_three_classes_are_refused(frames):
+    odd = frames[0].withColumn("label", F.floor(F.rand(1) * 3).cast("double"))
+    model = models.estimator("Decision_Tree", maxDepth=1).fit(odd)
+    with pytest.raises(ValueError, match="3 classes"):
+        models.require_binary(model)
+
+
 def test_model_facts(frames, tree):
     got = rows(models.model_facts(frames[0], {"Decision_Tree": tree}))
     assert got == [("Decision_Tree", "classes", 2), ("Decision_Tree", "features", 21)]
