@@ -49,6 +49,14 @@ def replicate(df: DataFrame, n: int) -> DataFrame:
     return with_copies(df, n, "_copy").drop("_copy")
 
 
+def with_room(df: DataFrame, rows: int, rows_per_task: int = 1_000_000) -> DataFrame:
+    """A held frame in enough partitions for the rows it is about to grow to. Copies
+    stay in the partition of their row, so the single rows are shuffled beforehand
+    and not the copies afterwards. Frames with enough partitions stay as they are."""
+    tasks = -(-rows // rows_per_task)
+    return df.repartition(tasks) if tasks > df.rdd.getNumPartitions() else df
+
+
 @contextmanager
 def held(*frames: DataFrame, spread: int | None = None) -> Iterator[tuple[DataFrame, ...]]:
     """The frames computed once and kept while the block runs, then released.

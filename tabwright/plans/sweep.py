@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.layouts import TRIAL_COLUMNS, TRIAL_STORE_COLUMNS, conform, empty
 from tabwright.operators.evaluate import metric_rows
 from tabwright.operators.models import MODEL_NAMES, estimator, score, score_all
-from tabwright.operators.sampling import held, replicate
+from tabwright.operators.sampling import held, replicate, with_room
 from tabwright.operators.trials import (
     in_sweep_order,
     missing_work,
@@ -66,7 +66,8 @@ def run_sweep(
     if todo:
         shared_dir(spark)  # boosting cuts its lineage there
         with held(*needed(train, test)) as (base_train, base_test):
-            base_rows = base_train.count() + base_test.count()
+            counts = (base_train.count(), base_test.count())
+            base_rows = sum(counts)
             if warm_up:
                 for name in sorted({r["Model"] for r in todo}):
                     force(score(base_test, estimator(name).fit(base_train)))
@@ -75,7 +76,8 @@ def run_sweep(
                 if not work:
                     continue
                 work.sort(key=lambda r: (list(models).index(r["Model"]), r["Trial"]))
-                with _copies(base_train, base_test, scale) as (fit_rows, test_rows):
+                base = ((base_train, counts[0]), (base_test, counts[1]))
+                with _copies(base, scale) as (fit_rows, test_rows):
                     sizes = (base_rows, fit_rows.count(), test_rows.count())
                     for row in work:
                         _run_trial(row, fit_rows, test_rows, sizes, width, store)
@@ -102,11 +104,11 @@ def publish(trials: DataFrame, summary: DataFrame, folder: str) -> None:
     write_csv(summary.coalesce(1), f"{folder}/scalability_repeated_results")
 
 
-def _copies(train: DataFrame, test: DataFrame, scale: int):
-    """Both tables ``scale`` times and held; the tables themselves at scale 1."""
+def _copies(base: Sequence[tuple[DataFrame, int]], scale: int):
+    """The frames ``scale`` times and held; the frames themselves at scale 1."""
     if scale == 1:
-        return nullcontext((train, test))
-    return held(replicate(train, scale), replicate(test, scale))
+        return nullcontext(tuple(frame for frame, _ in base))
+    return held(*[replicate(with_room(f, n * scale), scale) for f, n in base])
 
 
 def _run_trial(row, fit_rows, test_rows, sizes, width: int, store: str) -> None:

@@ -41,6 +41,15 @@ def test_replicate_needs_no_shuffle_and_no_join(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_room_for_copies_is_made_before_they_are(spark):
+    frame = spark.range(100).coalesce(2)
+    with s.held(frame, spread=2) as (kept,):
+        assert s.with_room(kept, 200, rows_per_task=100) is kept
+        wide = s.replicate(s.with_room(kept, 1000, rows_per_task=100), 10)
+        assert wide.rdd.getNumPartitions() == 10
+        assert wide.groupBy("id").count().filter("count <> 10").count() == 0
+
+
 def test_copies_are_numbered(spark):
     assert rows(s.with_copies(spark.range(1), 3)) == [(0, 0), (0, 1), (0, 2)]
 
