@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabwright.llm.tokens import words
 from tabwright.sources.workspace import fresh_path
@@ -38,7 +39,7 @@ STRIDE = 256
 #: A block is closed at the end of the document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
 BLOCK = (
-    "part int, block int, n_ids long, doc_ids array<long>, lengths array<long>, "
+    "part int, before long, n_ids long, doc_ids array<long>, lengths array<long>, "
     "offsets array<long>, words binary"
 )
 
@@ -141,12 +142,12 @@ def _blocks(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text_ids = words(path, False).text
         end = np.array([end_id], "<u4").tobytes()
-        part, block, names, ids = TaskContext.get().partitionId(), 0, [], []
+        part, before, names, ids = TaskContext.get().partitionId(), 0, [], []
 
         def close() -> pd.DataFrame:
             stream = np.frombuffer(b"".join(ids), "<u4")
             coded, offsets = encode(stream)
-            row = (part, block, len(stream), names, [len(x) // 4 for x in ids], offsets, coded)
+            row = (part, before, len(stream), names, [len(x) // 4 for x in ids], offsets, coded)
             return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCK.split(", ")])
 
         size = 0
@@ -157,7 +158,7 @@ def _blocks(path: str, end_id: int, block_ids: int):
                 size += len(ids[-1]) // 4
                 if size >= block_ids:
                     yield close()
-                    block, size, names, ids = block + 1, 0, [], []
+                    before, size, names, ids = before + size, 0, [], []
         if names:
             yield close()
 
@@ -186,27 +187,13 @@ def write_tokens(
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document: ids as packed little-endian
-    32-bit numbers, start as the number of ids before it in the whole table. The
-    totals of blocks are added up per partition first, so the last sum is over one
-    row per partition."""
+    32-bit numbers, start as the number of ids before it in the whole table. A block
+    knows the ids before it in its part; the totals of the parts, one row per
+    partition of the writing, are added up and broadcast, so no block is moved."""
     blocks = spark.read.schema(BLOCK).parquet(path)
-    sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"), F.collect_list(F.struct("block", "n_ids")).alias("b"))
-    before = (
-        sizes.selectExpr(
-            "part",
-            "sum(n) over (order by part rows between unbounded preceding and 1 preceding) as before",
-            "sort_array(b) as b",
-        )
-        .select("part", F.coalesce("before", F.lit(0)).alias("before"), F.posexplode("b").alias("i", "one"), "b")
-        .select(
-            "part",
-            F.col("one.block").alias("block"),
-            (
-                F.col("before")
-                + F.expr("aggregate(slice(b, 1, i), 0L, (s, x) -> s + x.n_ids)")
-            ).alias("before"),
-        )
-    )
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = totals.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("earlier"))
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,13 +204,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": pd.array(list(row.doc_ids), dtype="Int64"),
-                        "start": row.before + ends - lengths,
+                        "start": row.earlier + row.before + ends - lengths,
                         "n_tokens": lengths,
                         "ids": [ids[e - n : e].tobytes() for e, n in zip(ends, lengths)],
                     }
                 )
 
-    return blocks.join(before, ["part", "block"]).mapInPandas(
+    return blocks.join(F.broadcast(parts), "part").mapInPandas(
         documents, "doc_id long, start long, n_tokens long, ids binary"
     )
 

@@ -15,21 +15,38 @@ from functools import cache
 import numpy as np
 
 #: Words that a worker remembers before it starts afresh.
-MEMO = 700_000
+MEMO = 1_200_000
 #: Letters (but the one whose lower case is two characters), then signs.
-_PUNCTUATION = re.compile(r"""( ?)([^\W\d_\u0130]+)([!-&(-/:-@[-`{-~]+)""")
+_PUNCTUATION = re.compile(r"""([^\W\d_\u0130]+)([!-&(-/:-@[-`{-~]+)""")
 #: Space inside or at the end of a longer gap: there a cut would change the ids. Only
 #: a text where a gap goes on behind a space can have one.
 _GAP_GOES_ON = re.compile(r" (?:\s|\Z)")
 _INSIDE_GAP = re.compile(r"\s (?:\s|\Z)")
 
 
+#: Letters that are a token's own and have one lower case of one letter.
+_PLAIN = re.compile(r"( ?)([^\W\d_\u0130\u0180-\U0010ffff]+)")
+
+
+@cache
+def byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself if it is
+    printable Latin-1, else the next unused character from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    table = {b: chr(b) for b in printable}
+    return table | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
 class Words(dict):
-    """Word to packed ids. ``lower``: the tokenizer drops gaps and lower-cases."""
+    """Word to packed ids. ``lower``: the tokenizer drops gaps and lower-cases. Else a
+    word's ids are those behind a space, and the key of one without has a NUL before
+    it. Plain words go to the vocabulary's own algorithm without the steps around it,
+    which have nothing to do for them."""
 
     def __init__(self, path: str, lower: bool):
         super().__init__()
@@ -37,33 +54,52 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.lower = Tokenizer.from_file(path), lower
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def encode(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, word: str) -> bytes:
+    def piece(self, word: str) -> bytes:
+        """Ids of a word with its own gap."""
+        if _PLAIN.fullmatch(word) and not (self.lower and word[0] == " "):
+            word = word.lower() if self.lower else word
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+            return packed([t.id for t in self.model.tokenize(spelled)])
+        return self.encode(word)
+
+    def __missing__(self, key: str) -> bytes:
+        """Ids of a word not remembered. A word made of known parts is remembered only
+        if its stem was met before, a line break with its two words never: most of
+        them are met once."""
         if len(self) >= MEMO:
             self.clear()
+        bare = key[:1] == "\0" and not self.lower
+        word = key[1:] if bare else key
         lines = word.split("\n")
+        if len(lines) > 1 and self.__parted(lines):
+            if self.lower:
+                return b"".join([self[x] for x in lines])
+            first, *rest = lines
+            head = self["\0" + first] if bare else self[first]
+            return head + b"".join([self["\0\n"] + self["\0" + x] for x in rest])
         cut = _PUNCTUATION.fullmatch(word)
-        if len(lines) > 1 and all(x and not x[-1].isspace() for x in lines) and not any(x[0].isspace() for x in lines[1:]):
-            line_end = b"" if self.lower else self.__plain("\n")
-            ids = line_end.join(self[x] for x in lines)
-        elif cut:  # letters, then signs without an apostrophe: never one token
-            gap, letters, signs = cut.groups()
-            ids = self[gap + letters] + self[signs]
+        if cut:  # letters, then signs without an apostrophe: never one token
+            letters, signs = cut.groups()
+            stem = "\0" + letters if bare else letters
+            known, ids = stem in self, self[stem] + self[signs if self.lower else "\0" + signs]
         elif self.lower and word.isascii() and word != (low := word.lower()):
-            ids = self[low]
+            known, ids = low in self, self[low]
         else:
-            ids = self.encode(word)
-        self[word] = ids
+            known, ids = True, self.piece(word if bare or self.lower else " " + word)
+        if known:
+            self[key] = ids
         return ids
 
-    def __plain(self, word: str) -> bytes:
-        ids = self.get(word)
-        if ids is None:
-            ids = self[word] = self.encode(word)
-        return ids
+    @staticmethod
+    def __parted(lines: list[str]) -> bool:
+        """Whether each line break stands alone between other characters."""
+        ends = all(x and not x[-1].isspace() for x in lines)
+        return ends and not any(x[0].isspace() for x in lines[1:])
 
     def text(self, text: str | None) -> bytes:
         """Packed ids of a whole text; none for null or empty."""
@@ -74,10 +110,10 @@ class Words(dict):
         if _GAP_GOES_ON.search(text) and _INSIDE_GAP.search(text):
             return self.encode(text)
         if "\0" in text:
-            cut = re.split("(?= )", text)
-        else:
-            cut = text.replace(" ", "\0 ").split("\0")
-        return b"".join(map(self.__getitem__, cut if cut[0] else cut[1:]))
+            return self.encode(text)
+        first, *rest = text.split(" ")
+        head = self["\0" + first] if first else b""
+        return head + b"".join(map(self.__getitem__, rest))
 
 
 @cache
