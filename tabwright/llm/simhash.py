@@ -35,8 +35,8 @@ LEVELS = 8
 def covering_masks(radius: int, level: int) -> list[int]:
     """2^(radius+1) - 1 masks of 64 bits; another level is another code."""
     dims = radius + 1
-    vectors = np.resize(np.arange(1, 2**dims), BITS)
-    vectors = np.random.default_rng(1_000 * radius + level).permutation(vectors)
+    drawn = np.random.default_rng(1_000 * radius + level).permutation(np.arange(1, 2**dims))
+    vectors = np.resize(drawn, BITS)
     return [
         sum(1 << i for i in range(BITS) if int(vectors[i] & v).bit_count() & 1)
         for v in range(1, 2**dims)
@@ -47,9 +47,10 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The majority of the shingles' hash bits, as an unsigned number. Bytes are
-    lower-cased and split, which for UTF-8 touches ASCII letters and gaps only."""
+def fingerprint(text: str | None, width: int, repeats: bool = True) -> int:
+    """The majority of the shingles' hash bits, as an unsigned number; each occurrence
+    counts, or each different shingle once. Bytes are lower-cased and split, which for
+    UTF-8 touches ASCII letters and gaps only."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return 0
@@ -60,6 +61,7 @@ def fingerprint(text: str | None, width: int) -> int:
     hashes = np.fromiter(
         (digest(b" ".join(s), 42) for s in zip(*shifted)), np.uint64, len(words) - width + 1
     )
+    hashes = hashes if repeats else np.unique(hashes)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65_536):
         block = hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8)
@@ -67,33 +69,46 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The different hashes of a text's shingles, as signed numbers."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    found = [words[i:] for i in range(min(width, max(len(words), 1)))]
+    hashes = {xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(*found)}
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64))
+
+
+def with_fingerprint(
+    df: DataFrame, text: str = "text", width: int = 3, repeats: bool = True
+) -> DataFrame:
     """The frame with ``fp``, the fingerprint as a signed long."""
 
     @F.pandas_udf(T.LongType())
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(
-                np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
+                np.array([fingerprint(t, width, repeats) for t in texts], np.uint64).view(np.int64)
             )
 
     return df.withColumn("fp", simhash(F.col(text)))
 
 
-def _local_stars(radius: int):
-    """Batches of buckets to the edges of a star per connected part of each."""
-
-    def stars(values: np.ndarray) -> list[tuple[int, int]]:
-        size = len(values)
-        parent = np.arange(size)
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
-        while True:  # labels sink to the smallest index of the part
-            best = np.where(near, parent[None, :], size).min(axis=1)
-            best = best[best]
-            if (best == parent).all():
-                break
-            parent = best
-        return [(values[i], values[p]) for i, p in enumerate(parent) if p != i]
+def _local_trees(radius: int):
+    """Batches of buckets to the edges of a spanning tree of each connected part; every
+    edge is a pair within the radius."""
+
+    def tree(values: np.ndarray) -> Iterator[tuple[int, int]]:
+        bits = values.view(np.uint64)
+        unseen = np.ones(len(values), bool)
+        for root in range(len(values)):
+            stack = [root] if unseen[root] else []
+            unseen[root] = False
+            while stack:
+                i = stack.pop()
+                near = unseen & (np.bitwise_count(bits ^ bits[i]) <= radius)
+                for j in np.flatnonzero(near).tolist():
+                    yield int(values[i]), int(values[j])
+                    stack.append(j)
+                unseen[near] = False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -103,11 +118,10 @@ def _local_stars(radius: int):
             if len(two):
                 pairs = np.stack(two.to_list()).astype(np.int64)
                 close = np.bitwise_count((pairs[:, 0] ^ pairs[:, 1]).view(np.uint64)) <= radius
-                out += [tuple(p) for p in pairs[close]]
+                out += map(tuple, pairs[close].tolist())
             for values in batch["fps"][sizes > 2]:
-                out += stars(np.asarray(values, np.int64).view(np.uint64))
-            edges = np.array(out, dtype=np.uint64 if not out else None).reshape(-1, 2)
-            edges = edges.astype(np.uint64).view(np.int64)
+                out += tree(np.asarray(values, np.int64))
+            edges = np.array(out, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"u": edges[:, 0], "v": edges[:, 1]})
 
     return run
@@ -120,23 +134,23 @@ def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     A bucket above ``bucket`` is not compared but cut by the masks of the next level:
     pairs in it that belong together still meet under one of them. Each level covers
     about half of the bits left, so the buckets of the last are tiny. Only buckets of
-    two and more leave the count; each gives a star per part, never all its pairs.
+    two and more leave the count; each gives a tree per part, never all its pairs.
     """
     spark = fps.sparkSession
     current = fps.select("fp", F.lit(0).cast("long").alias("bucket"))
     found = spark.createDataFrame([], "u long, v long")
     for level in range(LEVELS):
-        keys = [
-            F.xxhash64(F.col("bucket"), F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m))))
-            for t, m in enumerate(covering_masks(radius, level))
-        ]
-        spread = current.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+        masks = F.array(*(F.lit(_signed(m)) for m in covering_masks(radius, level)))
+        keys = F.transform(
+            masks, lambda m: F.xxhash64(F.col("bucket"), m, F.col("fp").bitwiseAND(m))
+        )
+        spread = current.select("fp", F.explode(keys).alias("bucket"))
         counts = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = saved(spread.join(counts, "bucket"), "buckets")
         last = level == LEVELS - 1
         small = sized if last else sized.where(F.col("n") <= bucket)
         grouped = small.groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
-        edges = grouped.select("fps").mapInPandas(_local_stars(radius), "u long, v long")
+        edges = grouped.select("fps").mapInPandas(_local_trees(radius), "u long, v long")
         found = found.unionByName(edges)
         current = sized.where(F.col("n") > bucket).select("fp", "bucket")
         if last or current.isEmpty():
@@ -153,10 +167,19 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: (doc_id, fp, component_id), component_id being the
     smallest id among all documents linked to it, itself included."""
-    marked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = saved(with_fingerprint(marked, width=width).select("doc_id", "fp"), "fingerprints")
-    nodes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
+    marked, nodes = _nodes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width)
+    return _named(marked, nodes, links(nodes.select("fp"), radius))
+
+
+def _nodes(docs: DataFrame, width: int, repeats: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every document, and (fp, first_id) of every fingerprint."""
+    marked = with_fingerprint(docs, width=width, repeats=repeats).select("doc_id", "fp")
+    marked = saved(marked, "fingerprints")
+    return marked, saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+
+
+def _named(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = components(edges)
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         nodes["fp"], "first_id", F.coalesce("root", nodes["fp"]).alias("root")
     )
@@ -166,6 +189,38 @@ def near_duplicates(
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_documents(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 7
+) -> DataFrame:
+    """(doc_id, fp, component_id): documents joined by chains whose links share
+    ``similarity`` of their different shingles of ``width`` words.
+
+    Fingerprints of the different word pairs, which differ least between near copies,
+    find the candidates within ``radius``; each link is then held against the whole
+    shingle sets of its two texts, which are made for candidates only. Documents of one
+    fingerprint are copies. A link is looked at for one row of its fingerprint: the
+    smallest id; a fingerprint without any id is not linked."""
+    marked, nodes = _nodes(docs.select("doc_id", "text"), 2, repeats=False)
+    edges = saved(links(nodes.select("fp"), radius, 4_096).distinct(), "candidates")
+    ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    chosen = nodes.join(ends, "fp").select("fp", F.col("first_id").alias("doc_id"))
+
+    @F.pandas_udf("array<long>")
+    def shingled(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, width) for t in texts])
+
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["fp"])
+    sets = saved(texts.select("fp", shingled("text").alias("s")), "shingles")
+    both = (
+        edges.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u")
+        .join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+        .withColumn("common", F.size(F.array_intersect("a", "b")))
+    )
+    union = F.size("a") + F.size("b") - F.col("common")
+    linked = both.where(F.col("common") >= similarity * union).select("u", "v")
+    return _named(marked, nodes, linked)
+
+
 def digest_rows(found: DataFrame) -> DataFrame:
     """The published columns: the fingerprint as 16 hexadecimal digits."""
     return found.select(
