@@ -28,7 +28,7 @@ MAX_GRAMS = 4_096
 MIN_SUPPORT = 8
 MIN_G2 = 30.0
 #: Words that a worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 200_000
 
 Reader = Callable[[str], Iterable[str]]
 

@@ -190,7 +190,7 @@ def _named(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def similar_documents(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 7
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 5
 ) -> DataFrame:
     """(doc_id, fp, component_id): documents joined by chains whose links share
     ``similarity`` of their different shingles of ``width`` words.

@@ -52,7 +52,7 @@ WORD_END = math.log(0.25)
 #: Classes of the character model: 0 a word's end, 1 to 26 letters, 27 any other letter.
 SYMBOLS = 28
 #: Decoded words that a worker remembers before it starts afresh.
-MEMO = 200_000
+MEMO = 100_000
 
 _LEADING = re.compile(r"^[^\w@$+]+")
 _TRAILING = re.compile(r"\W+$")
