@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where the cluster names none (a
-    local session, as in tests) a folder of our own is made and set."""
+    """The folder in spark.checkpoint.dir. Only a local session, as in tests, may leave
+    it out and gets a folder of its own; on a cluster a machine's folder would be seen
+    by that machine alone, so a missing setting is an error."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that executors share")
         folder = tempfile.mkdtemp(prefix="tabwright-")
-    if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
@@ -28,5 +30,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint that outlives lost executors."""
-    shared_dir(df.sparkSession)
+    folder, context = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
