@@ -52,6 +52,16 @@ def csv_sink_roundtrip(spark, sf) -> DataFrame:
     return tables.read_stored_csv(spark, path, layout)
 
 
+def csv_roundtrip_documents(spark, sf) -> DataFrame:
+    """Whole texts with line breaks, quotes and backslashes through the CSV sink."""
+    texts = table(spark, sf, "documents").select(
+        "doc_id",
+        F.concat(F.lit('"\\n'), "text", F.lit('\r\n\\\\"')).alias("text"),
+    )
+    path = sinks.write_csv(texts, fresh_path(spark, "texts.csv"))
+    return tables.read_stored_csv(spark, path, "doc_id bigint, text string")
+
+
 def retype_rows(spark, sf) -> DataFrame:
     text = accounts_raw(spark, sf).select(
         "account_id",
@@ -241,6 +251,11 @@ CASES = {
     ),
     "csv_string_scan": (csv_string_scan, f"select {RAW_SQL} from accounts_raw"),
     "parquet_scan": (parquet_scan, "select * from orders"),
+    "csv_roundtrip_documents": (
+        csv_roundtrip_documents,
+        r"""select doc_id, '"\n' || text || chr(13) || chr(10) || '\\"' as text
+            from documents""",
+    ),
     "csv_sink_roundtrip": (
         csv_sink_roundtrip,
         """select account_id, cast(label as double) actual_label,

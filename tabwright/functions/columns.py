@@ -44,3 +44,25 @@ def result_text(prediction: Column, positive: str, negative: str) -> Column:
 def position_in(column: Column, values: Sequence) -> Column:
     """1-based place of the value in a short fixed list; 0 when it is not there."""
     return F.array_position(F.array(*[F.lit(v) for v in values]), column)
+
+
+def one_line(text: str) -> Column:
+    """The text without line breaks: a backslash stands as two, breaks as \\n and \\r,
+    an empty text as \\e, since a CSV reader takes nothing for NULL."""
+    doubled = F.replace(F.col(text), F.lit("\\"), F.lit("\\\\"))
+    fed = F.replace(doubled, F.lit("\n"), F.lit("\\n"))
+    broken = F.replace(fed, F.lit("\r"), F.lit("\\r"))
+    return F.when(F.col(text) == "", "\\e").otherwise(broken).alias(text)
+
+
+def with_line_breaks(text: str) -> Column:
+    """What ``one_line`` was given: the parts between doubled backslashes hold none
+    but those of breaks."""
+
+    def restored(part: Column) -> Column:
+        fed = F.replace(part, F.lit("\\n"), F.lit("\n"))
+        return F.replace(fed, F.lit("\\r"), F.lit("\r"))
+
+    parts = F.split(F.col(text), r"\\\\", -1)
+    joined = F.array_join(F.transform(parts, restored), "\\")
+    return F.when(F.col(text) == "\\e", "").otherwise(joined).alias(text)

@@ -14,10 +14,8 @@ from tabwright.operators.validate import (
     validate,
 )
 from tabwright.sources.models import load_model
-from tabwright.sources.sinks import write_csv
-from tabwright.sources.tables import read_csv_text, read_parquet
-from tabwright.functions.layouts import retype
-
+from tabwright.sources.sinks import write_csv, write_parquet
+from tabwright.sources.tables import read_parquet
 
 
 def score_table(
@@ -28,15 +26,15 @@ def score_table(
     output_path: str,
     keep: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Score every row of a stored feature table into CSV, and give back the flat
-    table, the count per result and the totals, all read from what was written."""
+    """Score every row of a stored feature table once, and give back the flat table,
+    the count per result and the totals, all from what was written: Parquet in
+    ``output_path``/rows, exported as CSV to ``output_path``/csv."""
     model = load_model(model_name, model_path)
     rows = read_parquet(spark, table_path)
     enforce(
         validate(rows, [columns_present("features"), not_empty(), no_nulls("features")])
     )
     flat = flat_scores(score(rows, model), keep=keep)
-    write_csv(flat, output_path)
-    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema)
-    stored = retype(read_csv_text(spark, output_path), layout)
+    stored = read_parquet(spark, write_parquet(flat, f"{output_path}/rows"))
+    write_csv(stored, f"{output_path}/csv")
     return stored, prediction_summary(stored), prediction_totals(stored)

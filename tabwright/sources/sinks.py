@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from tabwright.functions.columns import one_line
 from tabwright.functions.vectors import declared_width, vector_size
 
 
@@ -20,10 +22,14 @@ def write_parquet(
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """CSV with a header. Outer spaces are data and are kept; the default writer
-    would cut them."""
+    would cut them. Quotes are doubled. Line breaks in texts are written as \\n and \\r
+    and backslashes as two, an empty text as \\e, so that a row is a line, the file can
+    be split, and NULL is not empty text; ``read_stored_csv`` undoes that."""
+    texts = {f.name: one_line(f.name) for f in df.schema if f.dataType == StringType()}
     (
-        df.write.mode(mode)
+        df.withColumns(texts).write.mode(mode)
         .option("header", True)
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tabwright.functions.columns import with_line_breaks
 from tabwright.functions.layouts import empty, retype, schema_of
 
 
@@ -24,7 +25,7 @@ def read_csv_text(
 ) -> DataFrame:
     """CSV with a header, every column as text. With a schema there is no pass over
     the data, and the header is checked against it by name and order."""
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", False)
     return reader.csv(path)
@@ -52,8 +53,10 @@ def read_stored(spark: SparkSession, path: str, layout: str) -> DataFrame:
 
 
 def read_stored_csv(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    """CSV rows of a layout, read as text and re-typed by column name."""
-    return retype(read_csv_text(spark, path), layout)
+    """CSV rows that ``write_csv`` wrote, read as text, with their line breaks, and
+    re-typed by column name."""
+    text = read_csv_text(spark, path)
+    return retype(text.select(*(with_line_breaks(c) for c in text.columns)), layout)
 
 
 def id_range(spark: SparkSession, n: int, name: str = "id") -> DataFrame:

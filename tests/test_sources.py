@@ -63,3 +63,11 @@ def test_workspace_is_the_shared_folder(spark):
 
 def test_id_range(spark):
     assert rows(tables.id_range(spark, 3, "k")) == [(0,), (1,), (2,)]
+
+
+def test_texts_of_all_kinds_come_back_from_csv(spark, tmp_path):
+    texts = ["a\nb", "\r\n", "\\n", "\\", "\\\\n\n\\", 'say "x", "y"', '\\"', " , ", "", None, "#"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    path = sinks.write_csv(df, str(tmp_path / "c"))
+    assert sum(len(p.read_text().splitlines()) - 1 for p in (tmp_path / "c").glob("part*")) == len(texts)
+    assert rows(tables.read_stored_csv(spark, path, "n int, t string")) == rows(df)
