@@ -35,9 +35,11 @@ def confusion(
 
 def with_metrics(counts: DataFrame) -> DataFrame:
     """Accuracy, precision, recall and F1 of the positive class, and weighted F1, from
-    the four counts. A ratio whose denominator is 0 is 0.0."""
+    the four counts. Accuracy and the shares of weighted F1 are of all ``rows`` where
+    the counts have them: a row outside the four cells is never right. A ratio whose
+    denominator is 0 is 0.0."""
     tn, fp, fn, tp = (F.col(c) for c in COUNTS)
-    total = tn + fp + fn + tp
+    total = F.col("rows") if "rows" in counts.columns else tn + fp + fn + tp
     precision, recall = F.col("Precision_Churn"), F.col("Recall_Churn")
     negative_f1 = safe_ratio(2 * tn, 2 * tn + fp + fn)
     return (
@@ -58,6 +60,11 @@ def with_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
+def other_rows() -> Column:
+    """Rows in none of the four cells: label or prediction is NULL or not 0 or 1."""
+    return (F.col("rows") - sum(F.col(c) for c in COUNTS)).alias("other_rows")
+
+
 def roc_auc(
     df: DataFrame,
     by: Sequence[str] = (),
