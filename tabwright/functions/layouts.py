@@ -35,6 +35,8 @@ QUALITY_COLUMNS = (
     "False_Positives bigint, False_Negatives bigint, True_Positives bigint"
 )
 TRIAL_STORE_COLUMNS = TRIAL_COLUMNS + ", " + QUALITY_COLUMNS
+#: A store may hold several runs: each row names its run and the input it was made from.
+RUN_STORE_COLUMNS = TRIAL_STORE_COLUMNS + ", Run_Id string, Input string"
 SUMMARY_COLUMNS = (
     "Scale_Factor int, Model string, Trials bigint, Base_Dataset_Rows bigint, "
     "Synthetic_Total_Rows bigint, Training_Rows bigint, Testing_Rows bigint, "

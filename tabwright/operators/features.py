@@ -45,27 +45,16 @@ def vocabulary_sizes(counts: DataFrame) -> dict[str, int]:
     return {r["column_name"]: r["n"] for r in sized.collect()}
 
 
-def category_index(
-    df: DataFrame, columns: Sequence[str], small: int = MAX_VOCABULARY
-) -> DataFrame:
+def category_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value, rows, category_index): 0-based rank by falling row count,
-    ties by value. Columns of up to ``small`` values are ranked by a window on the
-    counts; beyond that the counts are ranked in ranges over many tasks."""
-    counts = reliable(category_counts(df, columns))
-    if max(vocabulary_sizes(counts).values(), default=0) <= small:
-        return rank_in_window(counts)
-    return rank_in_ranges(counts)
-
-
-def rank_in_window(counts: DataFrame) -> DataFrame:
-    order = Window.partitionBy("column_name").orderBy(F.desc("rows"), "value")
-    return counts.withColumn("category_index", F.row_number().over(order) - 1)
+    ties by value."""
+    return rank_in_ranges(category_counts(df, columns))
 
 
 def rank_in_ranges(counts: DataFrame) -> DataFrame:
-    """The same ranks without one task per column: sort ranges, rank within a range,
-    add the sizes of the ranges before it. The ranges are checkpointed first, as the
-    two uses below must agree on where each of them ends."""
+    """Ranks without one task per column, for columns of any number of values: sort
+    ranges, rank within a range, add the sizes of the ranges before it. The ranges are
+    checkpointed first, as the two uses below must agree on where each of them ends."""
     ranged = reliable(
         counts.repartitionByRange("column_name", F.desc("rows"), "value").withColumn(
             "chunk", F.spark_partition_id()

@@ -49,31 +49,26 @@ def replicate(df: DataFrame, n: int) -> DataFrame:
     return with_copies(df, n, "_copy").drop("_copy")
 
 
-def with_room(df: DataFrame, rows: int, rows_per_task: int = 1_000_000) -> DataFrame:
-    """A held frame in enough partitions for the rows it is about to grow to. Copies
-    stay in the partition of their row, so the single rows are shuffled beforehand
-    and not the copies afterwards. Frames with enough partitions stay as they are."""
-    tasks = -(-rows // rows_per_task)
-    return df.repartition(tasks) if tasks > df.rdd.getNumPartitions() else df
+def laid_out(df: DataFrame, partitions: int | None) -> DataFrame:
+    """The rows in ``partitions`` parts by a hash of all their columns and in its order
+    inside each part: the same parts on any cluster and after any retry, which fits of
+    trees and of steps need to come out the same. None leaves the frame as it is.
+    Equal rows share a part; with a key among the columns there are none."""
+    if partitions is None:
+        return df
+    place = F.xxhash64(*df.columns)
+    return df.repartition(partitions, place).sortWithinPartitions(place)
 
 
 @contextmanager
-def held(*frames: DataFrame, spread: int | None = None) -> Iterator[tuple[DataFrame, ...]]:
-    """The frames computed once and kept while the block runs, then released.
-
-    Lost executors only cost their own blocks, which Spark computes again. A frame
-    in fewer partitions than the cluster has cores (``spread``) is small for it, and
-    is spread out so that an iterative fit uses all of them; larger ones stay put.
-    """
+def held(*frames: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
+    """The frames computed once and kept while the block runs, then released, in the
+    partitions that they have. Lost executors only cost their own blocks, which Spark
+    computes again."""
     kept: list[DataFrame] = []
     try:
         for frame in frames:
             kept.append(_keep(frame))
-            cores = spread or frame.sparkSession.sparkContext.defaultParallelism
-            if kept[-1].rdd.getNumPartitions() < cores:
-                narrow = kept.pop()
-                kept.append(_keep(narrow.repartition(cores)))
-                narrow.unpersist()
         yield tuple(kept)
     finally:
         for frame in kept:

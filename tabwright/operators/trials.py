@@ -40,6 +40,11 @@ def missing_work(
     return grid.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
+def repeated_work(done: DataFrame, key: Sequence[str] = TRIAL_KEY) -> DataFrame:
+    """Trials that the table holds more than once, with their number of rows."""
+    return done.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+
+
 def missing_models(expected: DataFrame, found: DataFrame) -> DataFrame:
     return expected.join(found.select("Model").distinct(), "Model", "left_anti")
 

@@ -8,19 +8,27 @@ from contextlib import nullcontext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.layouts import TRIAL_COLUMNS, TRIAL_STORE_COLUMNS, conform, empty
+from tabwright.functions.layouts import RUN_STORE_COLUMNS, TRIAL_COLUMNS, conform, empty
 from tabwright.operators.evaluate import metric_rows
-from tabwright.operators.models import MODEL_NAMES, estimator, score, score_all
-from tabwright.operators.sampling import held, replicate, with_room
+from tabwright.operators.models import (
+    MODEL_NAMES,
+    estimator,
+    require_binary,
+    score,
+    score_all,
+)
+from tabwright.operators.sampling import held, laid_out, replicate
 from tabwright.operators.trials import (
     in_sweep_order,
     missing_work,
+    repeated_work,
     summarise,
     trial_rules,
     with_throughput,
     work_grid,
 )
 from tabwright.operators.validate import enforce, validate
+from tabwright.plans.prepare import feature_rules
 from tabwright.plans.train import force, needed, timed
 from tabwright.sources.sinks import write_csv
 from tabwright.sources.tables import read_stored
@@ -32,16 +40,23 @@ TRIALS = 3
 
 
 class SweepIncomplete(RuntimeError):
-    """Trials of the grid are missing from the store."""
+    """Trials of the grid are missing from the store, or are there more than once."""
 
 
 def pending(
-    spark, store: str, scales: Sequence[int], models: Sequence[str], trials: int
+    done: DataFrame, scales: Sequence[int], models: Sequence[str], trials: int
 ) -> DataFrame:
-    """Grid rows that the store does not hold yet."""
-    names = spark.createDataFrame([(m,) for m in models], "Model string")
-    grid = work_grid(names, scales, trials)
-    return missing_work(grid, read_stored(spark, store, TRIAL_STORE_COLUMNS))
+    """Grid rows that are not done yet."""
+    names = done.sparkSession.createDataFrame([(m,) for m in models], "Model string")
+    return missing_work(work_grid(names, scales, trials), done)
+
+
+def input_mark(*frames: DataFrame) -> str:
+    """What tells one input from another: per frame the number of rows and a sum of
+    their hashes, which no order or partitioning changes."""
+    summed = F.sum(F.xxhash64("features", "label").cast("decimal(38,0)"))
+    marks = [f.agg(F.count(F.lit(1)).alias("n"), summed.alias("h")).first() for f in frames]
+    return ";".join(f"{m['n']}:{m['h'] or 0}" for m in marks)
 
 
 def run_sweep(
@@ -53,19 +68,33 @@ def run_sweep(
     models: Sequence[str] = MODEL_NAMES,
     trials: int = TRIALS,
     warm_up: bool = True,
+    run_id: str = "",
+    partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(trials, summary) in the order of the grid.
 
     Each finished trial is appended to ``store`` as its own committed Parquet write,
     so a run that dies goes on with what is missing, and scales without missing work
-    are not built again. The summary is always derived from the stored trials.
+    are not built again. The summary is always derived from the stored trials of this
+    ``run_id`` and this input; a store may hold others beside them.
+
+    Both tables are gated before anything is fitted. With ``partitions`` the base is
+    laid out in so many parts, and at each scale in so many times the scale.
     """
     spark = train.sparkSession
-    empty(spark, TRIAL_STORE_COLUMNS).write.mode("append").parquet(store)
-    todo = pending(spark, store, scales, models, trials).collect()  # at most the grid
+    enforce(validate(train, feature_rules(width, complete=True)))
+    enforce(validate(test, feature_rules(width, complete=True)))
+    empty(spark, RUN_STORE_COLUMNS).write.mode("append").parquet(store)
+    run = (run_id, input_mark(train, test))
+
+    def done() -> DataFrame:
+        of_run = (F.col("Run_Id") == run[0]) & (F.col("Input") == run[1])
+        return read_stored(spark, store, RUN_STORE_COLUMNS).filter(of_run)
+
+    todo = pending(done(), scales, models, trials).collect()  # at most the grid
     if todo:
         shared_dir(spark)  # boosting cuts its lineage there
-        with held(*needed(train, test)) as (base_train, base_test):
+        with held(*needed(train, test, partitions=partitions)) as (base_train, base_test):
             counts = (base_train.count(), base_test.count())
             base_rows = sum(counts)
             if warm_up:
@@ -76,19 +105,21 @@ def run_sweep(
                 if not work:
                     continue
                 work.sort(key=lambda r: (list(models).index(r["Model"]), r["Trial"]))
-                base = ((base_train, counts[0]), (base_test, counts[1]))
-                with _copies(base, scale) as (fit_rows, test_rows):
+                with _copies((base_train, base_test), scale, partitions) as grown:
+                    fit_rows, test_rows = grown
                     sizes = (base_rows, fit_rows.count(), test_rows.count())
                     for row in work:
-                        _run_trial(row, fit_rows, test_rows, sizes, width, store)
-    missing = pending(spark, store, scales, models, trials).count()
+                        _run_trial(row, fit_rows, test_rows, sizes, width, store, run)
+    missing = pending(done(), scales, models, trials).count()
     if missing:
         raise SweepIncomplete(f"{missing} trials are missing; the store is kept")
-    stored = read_stored(spark, store, TRIAL_STORE_COLUMNS).filter(
+    stored = done().filter(
         F.col("Scale_Factor").isin(*scales)
         & F.col("Model").isin(*models)
         & (F.col("Trial") <= trials)
     )
+    if repeated := repeated_work(stored).count():
+        raise SweepIncomplete(f"{repeated} trials are stored more than once")
     enforce(validate(stored, trial_rules()))
     ordered = in_sweep_order(stored, scales, models)
     return (
@@ -104,18 +135,21 @@ def publish(trials: DataFrame, summary: DataFrame, folder: str) -> None:
     write_csv(summary.coalesce(1), f"{folder}/scalability_repeated_results")
 
 
-def _copies(base: Sequence[tuple[DataFrame, int]], scale: int):
-    """The frames ``scale`` times and held; the frames themselves at scale 1."""
+def _copies(base: Sequence[DataFrame], scale: int, partitions: int | None):
+    """The frames ``scale`` times and held; the frames themselves at scale 1. Room is
+    made before the copies, so that single rows are shuffled."""
     if scale == 1:
-        return nullcontext(tuple(frame for frame, _ in base))
-    return held(*[replicate(with_room(f, n * scale), scale) for f, n in base])
+        return nullcontext(tuple(base))
+    room = partitions and partitions * scale
+    return held(*[replicate(laid_out(f, room), scale) for f in base])
 
 
-def _run_trial(row, fit_rows, test_rows, sizes, width: int, store: str) -> None:
+def _run_trial(row, fit_rows, test_rows, sizes, width: int, store: str, run=("", "")) -> None:
     """Fit, predict, and append the trial row; quality is measured in trial 1 only."""
     name, spark = row["Model"], fit_rows.sparkSession
     base_rows, training_rows, testing_rows = sizes
     model, fit_seconds = timed(lambda: estimator(name).fit(fit_rows))
+    require_binary(model)
     _, predict_seconds = timed(lambda: force(score(test_rows, model)))
     trial = spark.range(1).select(
         F.lit(row["Scale_Factor"]).alias("Scale_Factor"),
@@ -128,6 +162,8 @@ def _run_trial(row, fit_rows, test_rows, sizes, width: int, store: str) -> None:
         F.lit(width).alias("Feature_Count"),
         F.lit(fit_seconds).alias("Training_Time_Seconds"),
         F.lit(predict_seconds).alias("Prediction_Time_Seconds"),
+        F.lit(run[0]).alias("Run_Id"),
+        F.lit(run[1]).alias("Input"),
     )
     if row["Trial"] == 1:
         scored = score_all(test_rows, {name: model}, ["label"])
@@ -135,5 +171,5 @@ def _run_trial(row, fit_rows, test_rows, sizes, width: int, store: str) -> None:
     times = ("Training_Time_Seconds", "Prediction_Time_Seconds")
     exact = with_throughput(trial)
     rounded = exact.withColumns({c: F.round(c, 6) for c in times})
-    rows = conform(rounded, TRIAL_STORE_COLUMNS)
+    rows = conform(rounded, RUN_STORE_COLUMNS)
     rows.coalesce(1).write.mode("append").parquet(store)

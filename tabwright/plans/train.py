@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.layouts import METRIC_COLUMNS, conform
-from tabwright.operators.evaluate import in_model_order, metric_rows
+from tabwright.operators.evaluate import COUNTS, in_model_order, metric_rows
 from tabwright.operators.models import (
     MODEL_NAMES,
     estimator,
@@ -18,7 +18,7 @@ from tabwright.operators.models import (
     score,
     score_all,
 )
-from tabwright.operators.sampling import held
+from tabwright.operators.sampling import held, laid_out
 from tabwright.operators.trials import throughput
 from tabwright.operators.validate import enforce, validate
 from tabwright.plans.prepare import feature_rules
@@ -39,9 +39,14 @@ def force(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def needed(*frames: DataFrame) -> tuple[DataFrame, ...]:
-    """What a fit reads; keys and other columns are not worth holding in memory."""
-    return tuple(f.select("features", "label") for f in frames)
+def needed(*frames: DataFrame, partitions: int | None = None) -> tuple[DataFrame, ...]:
+    """What a fit reads, laid out in ``partitions`` parts while the key is still there;
+    keys and other columns are not worth holding in memory."""
+    return tuple(laid_out(f, partitions).select("features", "label") for f in frames)
+
+
+class UnknownClass(ValueError):
+    """Rows whose label or prediction is not 0 or 1."""
 
 
 def compare(
@@ -50,15 +55,18 @@ def compare(
     width: int,
     names: Sequence[str] = MODEL_NAMES,
     model_dir: str | None = None,
+    partitions: int | None = None,
 ) -> tuple[dict[str, Model], DataFrame]:
     """Fit the models on one held training table, time them, store them, and compare
     them on the test table. The comparison holds one row per model; all models are
-    scored and evaluated in a single pass over the test rows."""
+    scored and evaluated in a single pass over the test rows. Both tables are gated
+    first. With ``partitions`` fits do not depend on the cluster (``laid_out``)."""
     models: dict[str, Model] = {}
     times = []
     shared_dir(train.sparkSession)  # boosting cuts its lineage there
-    with held(*needed(train, test)) as (fit_rows, test_rows):
+    with held(*needed(train, test, partitions=partitions)) as (fit_rows, test_rows):
         enforce(validate(fit_rows, feature_rules(width, complete=True)))
+        enforce(validate(test_rows, feature_rules(width, complete=False)))
         for name in names:
             model, fit_seconds = timed(lambda: estimator(name).fit(fit_rows))
             require_binary(model)
@@ -70,6 +78,9 @@ def compare(
         counted = fit_rows.count()
         quality = metric_rows(score_all(test_rows, models, ["label"]), ["Model"])
         rows = quality.collect()  # one row per model
+    strange = [r["Model"] for r in rows if r["rows"] != sum(r[c] for c in COUNTS)]
+    if strange:
+        raise UnknownClass(f"rows outside the classes 0 and 1: {strange}")
 
     spark = train.sparkSession
     timing = spark.createDataFrame(

@@ -23,7 +23,7 @@ def prepared(spark):
 
 @pytest.fixture(scope="module")
 def frames(prepared):
-    with held(prepared.split("train"), prepared.split("test"), spread=2) as kept:
+    with held(prepared.split("train"), prepared.split("test")) as kept:
         yield kept
 
 

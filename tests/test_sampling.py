@@ -41,23 +41,25 @@ def test_replicate_needs_no_shuffle_and_no_join(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
-def test_room_for_copies_is_made_before_they_are(spark):
-    frame = spark.range(100).coalesce(2)
-    with s.held(frame, spread=2) as (kept,):
-        assert s.with_room(kept, 200, rows_per_task=100) is kept
-        wide = s.replicate(s.with_room(kept, 1000, rows_per_task=100), 10)
-        assert wide.rdd.getNumPartitions() == 10
-        assert wide.groupBy("id").count().filter("count <> 10").count() == 0
+def test_layout_does_not_depend_on_the_input_partitions(spark):
+    frame = spark.range(1000).selectExpr("id", "cast(id % 7 as string) as v")
+    parts = [
+        [[r["id"] for r in part] for part in s.laid_out(f, 6).rdd.glom().collect()]
+        for f in (frame.repartition(3), frame.coalesce(1), frame.repartition(11, "v"))
+    ]
+    assert parts[0] == parts[1] == parts[2] and len(parts[0]) == 6
+    assert sorted(x for p in parts[0] for x in p) == list(range(1000))
+    assert s.laid_out(frame, None) is frame
 
 
 def test_copies_are_numbered(spark):
     assert rows(s.with_copies(spark.range(1), 3)) == [(0, 0), (0, 1), (0, 2)]
 
 
-def test_held_frames_are_spread_and_released(spark):
+def test_held_frames_keep_their_partitions_and_are_released(spark):
     frame = spark.range(100).coalesce(1)
-    with s.held(frame, spread=4) as (kept,):
-        assert kept.rdd.getNumPartitions() == 4
+    with s.held(frame) as (kept,):
+        assert kept.rdd.getNumPartitions() == 1
         assert kept.storageLevel.useMemory and kept.storageLevel.useDisk
         assert kept.count() == 100
     assert not kept.storageLevel.useMemory
@@ -66,6 +68,6 @@ def test_held_frames_are_spread_and_released(spark):
 
 def test_held_releases_after_an_error(spark):
     with pytest.raises(RuntimeError):
-        with s.held(spark.range(10), spread=1) as (kept,):
+        with s.held(spark.range(10)) as (kept,):
             raise RuntimeError
     assert not kept.storageLevel.useMemory

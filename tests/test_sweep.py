@@ -20,7 +20,7 @@ MODELS = ("Decision_Tree", "Logistic_Regression")
 @pytest.fixture(scope="module")
 def frames(spark):
     prepared = prepare(accounts_raw(spark, "/root/testdata/sf0.001"), ACCOUNTS)
-    with held(prepared.split("train"), prepared.split("test"), spread=2) as kept:
+    with held(prepared.split("train"), prepared.split("test")) as kept:
         yield kept
 
 
@@ -91,3 +91,34 @@ def test_incomplete_store_is_an_error(frames, tmp_path, monkeypatch):
         sweep.run_sweep(
             *frames, 21, str(tmp_path / "t"), (1,), ("Decision_Tree",), 1, warm_up=False
         )
+
+
+def test_labels_are_gated_before_a_sweep(spark, frames, tmp_path):
+    train, test = frames
+    args = (21, str(tmp_path / "t"), (1,), MODELS[:1], 1)
+    third = test.withColumn("label", F.when(F.rand(3) < 0.1, 2.0).otherwise(F.col("label")))
+    missing = test.withColumn("label", F.when(F.col("label") == 0, 0.0))
+    for bad in (third, missing, test.limit(0)):
+        with pytest.raises(ValueError):
+            sweep.run_sweep(train, bad, *args)
+
+
+def test_a_store_keeps_runs_and_inputs_apart(spark, frames, tmp_path):
+    train, test = frames
+    store = str(tmp_path / "t")
+    args = (21, store, (1,), MODELS[:1], 1)
+    _, first = sweep.run_sweep(train, test, *args, warm_up=False)
+    half = train.filter(F.col("label").isNotNull() & (F.rand(1) < 0.5))
+    half = spark.createDataFrame(half.collect(), half.schema)
+    _, second = sweep.run_sweep(half, test, *args, warm_up=False)
+    sweep.run_sweep(train, test, *args, warm_up=False, run_id="next")
+    assert first.first()["Training_Rows"] == train.count()
+    assert second.first()["Training_Rows"] == half.count()
+    assert first.first()["Trials"] == 1 == second.first()["Trials"]
+    stored = spark.read.parquet(store)
+    assert stored.count() == 3
+    stored.limit(1).write.mode("append").parquet(store)
+    with pytest.raises(sweep.SweepIncomplete, match="more than once"):
+        for run_id in ("", "next"):
+            sweep.run_sweep(train, test, *args, warm_up=False, run_id=run_id)
+            sweep.run_sweep(half, test, *args, warm_up=False, run_id=run_id)
