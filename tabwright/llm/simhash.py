@@ -14,6 +14,7 @@ smallest id unless it has no other.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,10 @@ BITS = 64
 #: Buckets up to this size are compared in one go; larger ones are cut by more masks.
 BUCKET = 512
 LEVELS = 8
+#: Of candidates that are to be checked, buckets up to this size give all near pairs.
+FULL = 16
+#: One fingerprint of the words for each.
+PRINT_SEEDS = (42, 43)
 
 
 def covering_masks(radius: int, level: int) -> list[int]:
@@ -47,11 +52,16 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def fingerprint(text: str | None, width: int, repeats: bool = True) -> int:
+def words_of(text: str | None) -> list[bytes]:
+    """Bytes are lower-cased and split, which for UTF-8 touches ASCII letters and gaps
+    only."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def fingerprint(text: str | None, width: int) -> int:
     """The majority of the shingles' hash bits, as an unsigned number; each occurrence
-    counts, or each different shingle once. Bytes are lower-cased and split, which for
-    UTF-8 touches ASCII letters and gaps only."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    counts."""
+    words = words_of(text)
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -61,7 +71,6 @@ def fingerprint(text: str | None, width: int, repeats: bool = True) -> int:
     hashes = np.fromiter(
         (digest(b" ".join(s), 42) for s in zip(*shifted)), np.uint64, len(words) - width + 1
     )
-    hashes = hashes if repeats else np.unique(hashes)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65_536):
         block = hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8)
@@ -69,35 +78,56 @@ def fingerprint(text: str | None, width: int, repeats: bool = True) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def word_fingerprint(words: list[bytes], seed: int) -> int:
+    """The majority of the words' hash bits; a word weighs the root of its count, so
+    that a few changed words move few bits, and frequent words do not decide alone."""
+    counts = Counter(words)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts))
+    weights = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
+    ones = np.zeros(BITS)
+    for i in range(0, len(hashes), 65_536):
+        block = hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8)
+        ones += weights[i : i + 65_536] @ np.unpackbits(block, axis=1, bitorder="little")
+    return int(np.packbits(2 * ones > weights.sum(), bitorder="little").view(np.uint64)[0])
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The different hashes of a text's shingles, as signed numbers."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    words = words_of(text)
     found = [words[i:] for i in range(min(width, max(len(words), 1)))]
     hashes = {xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(*found)}
     return np.sort(np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64))
 
 
-def with_fingerprint(
-    df: DataFrame, text: str = "text", width: int = 3, repeats: bool = True
-) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
     """The frame with ``fp``, the fingerprint as a signed long."""
 
     @F.pandas_udf(T.LongType())
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(
-                np.array([fingerprint(t, width, repeats) for t in texts], np.uint64).view(np.int64)
+                np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
             )
 
     return df.withColumn("fp", simhash(F.col(text)))
 
 
-def _local_trees(radius: int):
+def _local_trees(radius: int, full: int = 2):
     """Batches of buckets to the edges of a spanning tree of each connected part; every
-    edge is a pair within the radius."""
+    edge is a pair within the radius. Buckets of up to ``full`` give all such pairs; the
+    trees of others start where the bucket's own seed says, not alike in all buckets."""
+
+    def near_pairs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+        bits = values.view(np.uint64)
+        close = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
+        for i, j in np.argwhere(np.triu(close, 1)).tolist():
+            yield int(values[i]), int(values[j])
 
     def tree(values: np.ndarray) -> Iterator[tuple[int, int]]:
+        values = np.sort(values)
         bits = values.view(np.uint64)
+        order = np.random.default_rng(int(np.bitwise_xor.reduce(bits))).permutation(len(values))
+        values, bits = values[order], bits[order]
         unseen = np.ones(len(values), bool)
         for root in range(len(values)):
             stack = [root] if unseen[root] else []
@@ -120,21 +150,23 @@ def _local_trees(radius: int):
                 close = np.bitwise_count((pairs[:, 0] ^ pairs[:, 1]).view(np.uint64)) <= radius
                 out += map(tuple, pairs[close].tolist())
             for values in batch["fps"][sizes > 2]:
-                out += tree(np.asarray(values, np.int64))
+                values = np.asarray(values, np.int64)
+                out += (near_pairs if len(values) <= full else tree)(values)
             edges = np.array(out, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"u": edges[:, 0], "v": edges[:, 1]})
 
     return run
 
 
-def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET, full: int = 2) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints (distinct ``fp``) linked by
     chains of at most ``radius`` differing bits.
 
     A bucket above ``bucket`` is not compared but cut by the masks of the next level:
     pairs in it that belong together still meet under one of them. Each level covers
     about half of the bits left, so the buckets of the last are tiny. Only buckets of
-    two and more leave the count; each gives a tree per part, never all its pairs.
+    two and more leave the count; each gives a tree per part, never all its pairs unless
+    it has no more than ``full`` members.
     """
     spark = fps.sparkSession
     current = fps.select("fp", F.lit(0).cast("long").alias("bucket"))
@@ -150,7 +182,7 @@ def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
         last = level == LEVELS - 1
         small = sized if last else sized.where(F.col("n") <= bucket)
         grouped = small.groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
-        edges = grouped.select("fps").mapInPandas(_local_trees(radius), "u long, v long")
+        edges = grouped.select("fps").mapInPandas(_local_trees(radius, full), "u long, v long")
         found = found.unionByName(edges)
         current = sized.where(F.col("n") > bucket).select("fp", "bucket")
         if last or current.isEmpty():
@@ -171,10 +203,9 @@ def near_duplicates(
     return _named(marked, nodes, links(nodes.select("fp"), radius))
 
 
-def _nodes(docs: DataFrame, width: int, repeats: bool = True) -> tuple[DataFrame, DataFrame]:
+def _nodes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every document, and (fp, first_id) of every fingerprint."""
-    marked = with_fingerprint(docs, width=width, repeats=repeats).select("doc_id", "fp")
-    marked = saved(marked, "fingerprints")
+    marked = saved(with_fingerprint(docs, width=width).select("doc_id", "fp"), "fingerprints")
     return marked, saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
 
 
@@ -189,19 +220,60 @@ def _named(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _contents(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, prints): ``fp`` is a hash of all words in order, so that only texts
+    of the same words in the same order are one node; ``prints`` has one fingerprint of
+    the words for each seed."""
+
+    @F.pandas_udf("fp long, prints array<long>")
+    def contents(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            split = [words_of(t) for t in texts]
+            whole = [xxhash.xxh64_intdigest(b" ".join(w), 42) for w in split]
+            prints = [
+                np.array([word_fingerprint(w, s) for s in PRINT_SEEDS], np.uint64).view(np.int64)
+                for w in split
+            ]
+            yield pd.DataFrame({"fp": np.array(whole, np.uint64).view(np.int64), "prints": prints})
+
+    return docs.select("doc_id", contents("text").alias("c")).select("doc_id", "c.fp", "c.prints")
+
+
+def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (u, v) of nodes near in one of their fingerprints. Of nodes that share a
+    fingerprint one stands for the others, which are pairs with it."""
+    found = nodes.sparkSession.createDataFrame([], "u long, v long")
+    for i in range(len(PRINT_SEEDS)):
+        printed = nodes.select(F.col("fp").alias("node"), F.col("prints")[i].alias("fp"))
+        chief = saved(printed.groupBy("fp").agg(F.min("node").alias("chief")), "chiefs")
+        same = printed.join(chief, "fp").where(F.col("node") != F.col("chief"))
+        near = saved(links(chief.select("fp"), radius, full=FULL).distinct(), "near_prints")
+        ends = near.join(chief.select(F.col("fp").alias("u"), F.col("chief").alias("a")), "u").join(
+            chief.select(F.col("fp").alias("v"), F.col("chief").alias("b")), "v"
+        )
+        found = found.unionByName(same.select(F.col("chief").alias("u"), F.col("node").alias("v")))
+        found = found.unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def similar_documents(
     docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 5
 ) -> DataFrame:
     """(doc_id, fp, component_id): documents joined by chains whose links share
     ``similarity`` of their different shingles of ``width`` words.
 
-    Fingerprints of the different word pairs, which differ least between near copies,
-    find the candidates within ``radius``; each link is then held against the whole
-    shingle sets of its two texts, which are made for candidates only. Documents of one
-    fingerprint are copies. A link is looked at for one row of its fingerprint: the
-    smallest id; a fingerprint without any id is not linked."""
-    marked, nodes = _nodes(docs.select("doc_id", "text"), 2, repeats=False)
-    edges = saved(links(nodes.select("fp"), radius, 4_096).distinct(), "candidates")
+    Texts of the same words in the same order are copies. For others, two fingerprints
+    of the words, which differ least between near copies, find the candidates within
+    ``radius`` bits of either; each link is then held against the whole shingle sets of
+    its two texts, which are made for candidates only. A link is looked at for one row
+    of its text: the smallest id; a text without any id is not linked. Candidates are
+    approximate: of the pairs this similar, 98 % were within the radius (README)."""
+    marked = saved(_contents(docs), "contents")
+    grouped = marked.groupBy("fp").agg(
+        F.min("doc_id").alias("first_id"), F.first("prints").alias("prints")
+    )
+    nodes = saved(grouped, "nodes")
+    edges = saved(_candidates(nodes, radius), "candidates")
     ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     chosen = nodes.join(ends, "fp").select("fp", F.col("first_id").alias("doc_id"))
 
@@ -218,7 +290,7 @@ def similar_documents(
     )
     union = F.size("a") + F.size("b") - F.col("common")
     linked = both.where(F.col("common") >= similarity * union).select("u", "v")
-    return _named(marked, nodes, linked)
+    return _named(marked.drop("prints"), nodes, linked)
 
 
 def digest_rows(found: DataFrame) -> DataFrame:
