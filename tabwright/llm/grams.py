@@ -55,8 +55,8 @@ class GramModel:
         many texts and remembers which of its grams a word has."""
         names = list(self.weights)
         index = {g: i for i, g in enumerate(names)}
-        matrix = np.array([self.weights[g] for g in names]).reshape(len(names), -1)
         base = np.array(self.intercepts)
+        matrix = np.array([self.weights[g] for g in names]).reshape(len(names), len(base))
         memo: dict[str, tuple[int, ...]] = {}
 
         def score(words: Iterable[str]) -> np.ndarray:
