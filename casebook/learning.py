@@ -8,6 +8,7 @@ to the few numbers that plain SQL can also find.
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -110,22 +111,27 @@ def sink_verify(spark, sf) -> DataFrame:
 
 
 def model_roundtrip(spark, sf) -> DataFrame:
-    """Raw rows through stored encoder and model, against the ones never stored."""
-    prepared, model = _fitted(spark, sf, "Logistic_Regression")
-    encoder_path = save_model(prepared.encoder, fresh_path(spark, "encoder"))
-    model_path = save_model(model, fresh_path(spark, "model"))
-    again = load_pipeline(encoder_path)
+    """Raw rows through the stored encoder and each stored model, against the ones
+    never stored."""
     test = accounts_split(spark, sf).filter(F.col("split") == "test")
-    chosen = {"a": model, "b": load_model("Logistic_Regression", model_path)}
-    both = models.score_all(
-        features.encode(test, again, ACCOUNTS), chosen, ["account_id"]
-    )
-    per_row = both.groupBy("account_id").agg(
-        (F.max("probability") - F.min("probability")).alias("gap")
-    )
-    return per_row.agg(
-        F.count(F.lit(1)).alias("rows"), (F.max("gap") == 0).alias("same_scores")
-    )
+
+    def same(name: str) -> DataFrame:
+        prepared, model = _fitted(spark, sf, name)
+        encoder_path = save_model(prepared.encoder, fresh_path(spark, "encoder"))
+        model_path = save_model(model, fresh_path(spark, "model"))
+        again = load_pipeline(encoder_path)
+        chosen = {"a": model, "b": load_model(name, model_path)}
+        both = models.score_all(features.encode(test, again, ACCOUNTS), chosen, ["account_id"])
+        per_row = both.groupBy("account_id").agg(
+            (F.max("probability") - F.min("probability")).alias("gap")
+        )
+        return per_row.agg(
+            F.lit(name).alias("Model"),
+            F.count(F.lit(1)).alias("rows"),
+            (F.max("gap") == 0).alias("same_scores"),
+        )
+
+    return reduce(DataFrame.unionByName, map(same, models.MODEL_NAMES))
 
 
 def model_scores(spark, sf) -> DataFrame:
@@ -458,7 +464,9 @@ CASES = {
     ),
     "model_roundtrip": (
         model_roundtrip,
-        f"select rows, true as same_scores from {_TEST_COUNTS}",
+        f"""select Model, rows, true as same_scores from {_TEST_COUNTS}
+            cross join (values ('Logistic_Regression'), ('Decision_Tree'), ('Random_Forest'),
+                               ('Gradient_Boosted_Tree')) m(Model)""",
     ),
     "model_scores": (
         model_scores,

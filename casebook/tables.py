@@ -22,8 +22,15 @@ from tabwright.sources.workspace import fresh_path
 RAW = list(ACCOUNTS.columns)
 RAW_SQL = ", ".join(RAW)
 _RAW_ORDER = (
-    *("account_id", "segment", "priority", "status", "region"),
-    *("tenure", "total_charges", "balance", "churn"),
+    "account_id",
+    "segment",
+    "priority",
+    "status",
+    "region",
+    "tenure",
+    "total_charges",
+    "balance",
+    "churn",
 )
 
 

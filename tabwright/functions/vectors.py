@@ -22,9 +22,11 @@ def declared_width(df: DataFrame, vector: str = "features") -> int | None:
 
 
 def vector_size(vector: str) -> Column:
-    """The length of the vector; NULL stays NULL, which the array form refuses."""
-    size = F.size(vector_to_array(F.col(vector)))
-    return F.when(F.col(vector).isNotNull(), size)
+    """The length of the vector, from its stored fields: a sparse vector is not made
+    dense for it. NULL stays NULL."""
+    stored = F.unwrap_udt(F.col(vector))
+    length = F.coalesce(stored["size"], F.size(stored["values"]))
+    return F.when(F.col(vector).isNotNull(), length)
 
 
 def flatten_vector(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -12,6 +12,16 @@ from tabwright.functions.columns import position_in, result_text, safe_ratio
 
 COUNTS = ("True_Negatives", "False_Positives", "False_Negatives", "True_Positives")
 
+#: The published ratios, in their order.
+RATIOS = (
+    "Accuracy",
+    "Precision_Churn",
+    "Recall_Churn",
+    "F1_Churn",
+    "Weighted_F1",
+    "ROC_AUC",
+)
+
 
 def _cell_counts(label: str, prediction: str) -> list[Column]:
     cells = [(0, 0), (0, 1), (1, 0), (1, 1)]
@@ -100,11 +110,7 @@ def metric_rows(
         *by,
         "rows",
         *sums,
-        *[
-            F.round(c, 6).alias(c)
-            for c in ("Accuracy", "Precision_Churn", "Recall_Churn")
-        ],
-        *[F.round(c, 6).alias(c) for c in ("F1_Churn", "Weighted_F1", "ROC_AUC")],
+        *[F.round(c, 6).alias(c) for c in RATIOS],
         *COUNTS,
     )
 

@@ -45,6 +45,18 @@ def repeated_work(done: DataFrame, key: Sequence[str] = TRIAL_KEY) -> DataFrame:
     return done.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+class NoModels(ValueError):
+    """A table that holds none of the expected models."""
+
+
+def require_models(table: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """The rows of the expected models; an error if there is none."""
+    chosen = table.filter(F.col("Model").isin(*expected))
+    if chosen.isEmpty():
+        raise NoModels(f"none of the expected models is present: {list(expected)}")
+    return chosen
+
+
 def missing_models(expected: DataFrame, found: DataFrame) -> DataFrame:
     return expected.join(found.select("Model").distinct(), "Model", "left_anti")
 

@@ -56,11 +56,13 @@ def compare(
     names: Sequence[str] = MODEL_NAMES,
     model_dir: str | None = None,
     partitions: int | None = None,
+    table_path: str | None = None,
 ) -> tuple[dict[str, Model], DataFrame]:
     """Fit the models on one held training table, time them, store them, and compare
     them on the test table. The comparison holds one row per model; all models are
     scored and evaluated in a single pass over the test rows. Both tables are gated
-    first. With ``partitions`` fits do not depend on the cluster (``laid_out``)."""
+    first. ``table_path`` is where the comparison is written, as CSV with a header in
+    model order (one row per model). With ``partitions`` fits do not depend on the cluster (``laid_out``)."""
     models: dict[str, Model] = {}
     times = []
     shared_dir(train.sparkSession)  # boosting cuts its lineage there
@@ -87,9 +89,12 @@ def compare(
         times, "Model string, Training_Time_Seconds double, Prediction_Time_Seconds double"
     )
     table = spark.createDataFrame(rows, quality.schema).join(timing, "Model")
-    return models, in_model_order(
+    ordered = in_model_order(
         as_metric_table(table.withColumn("Training_Rows", F.lit(counted)), width), names
     )
+    if table_path:
+        ordered.coalesce(1).write.mode("overwrite").option("header", True).csv(table_path)
+    return models, ordered
 
 
 def as_metric_table(quality: DataFrame, width: int) -> DataFrame:

@@ -120,8 +120,15 @@ def test_store_train_and_score(spark, prepared, tmp_path):
     stored = spark.read.parquet(table)
     train, test = (stored.filter(F.col("split") == s) for s in ("train", "test"))
     fitted, comparison = compare(
-        train, test, prepared.width, ["Decision_Tree"], str(tmp_path / "models")
+        train,
+        test,
+        prepared.width,
+        ["Decision_Tree"],
+        str(tmp_path / "models"),
+        table_path=str(tmp_path / "metrics"),
     )
+    written = spark.read.option("header", True).csv(str(tmp_path / "metrics"))
+    assert written.columns == comparison.columns and written.count() == 1
     row = comparison.first()
     assert row["Dataset_Rows"] == stored.count() == row["Training_Rows"] + row["Testing_Rows"]
     assert row["Feature_Count"] == 21 and len(comparison.columns) == 18

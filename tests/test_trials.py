@@ -154,3 +154,10 @@ def test_report_series(spark):
 def test_metric_long(spark):
     df = spark.createDataFrame([("a", 0.5, 0.6), ("z", 0.1, 0.1)], "Model string, p double, q double")
     assert rows(report.metric_long(df, ["a", "b"], ["p", "q"])) == [("a", 1, "p", 0.5), ("a", 1, "q", 0.6)]
+
+
+def test_models_are_required(spark):
+    table = spark.createDataFrame([("Decision_Tree", 1), ("Other", 2)], "Model string, n int")
+    assert rows(t.require_models(table, ["Decision_Tree"])) == [("Decision_Tree", 1)]
+    with pytest.raises(t.NoModels):
+        t.require_models(table, ["Random_Forest"])
