@@ -14,13 +14,13 @@ smallest id unless it has no other.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +31,10 @@ BITS = 64
 #: Buckets up to this size are compared in one go; larger ones are cut by more masks.
 BUCKET = 512
 LEVELS = 8
-#: Of candidates that are to be checked, buckets up to this size give all near pairs.
-FULL = 16
-#: One fingerprint of the words for each.
-PRINT_SEEDS = (42, 43)
+#: Texts whose shingles are counted to tell common ones, and how many of these are kept.
+ORDER_DOCS, ORDER_SHINGLES = 4_096, 65_536
+#: Members of a bucket that are held against all of it: first, then (times eight a round).
+FIRST_ROOTS, SECOND_ROOTS = 16, 4
 
 
 def covering_masks(radius: int, level: int) -> list[int]:
@@ -78,19 +78,6 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def word_fingerprint(words: list[bytes], seed: int) -> int:
-    """The majority of the words' hash bits; a word weighs the root of its count, so
-    that a few changed words move few bits, and frequent words do not decide alone."""
-    counts = Counter(words)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts))
-    weights = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
-    ones = np.zeros(BITS)
-    for i in range(0, len(hashes), 65_536):
-        block = hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8)
-        ones += weights[i : i + 65_536] @ np.unpackbits(block, axis=1, bitorder="little")
-    return int(np.packbits(2 * ones > weights.sum(), bitorder="little").view(np.uint64)[0])
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The different hashes of a text's shingles, as signed numbers."""
     words = words_of(text)
@@ -112,16 +99,10 @@ def with_fingerprint(df: DataFrame, text: str = "text", width: int = 3) -> DataF
     return df.withColumn("fp", simhash(F.col(text)))
 
 
-def _local_trees(radius: int, full: int = 2):
+def _local_trees(radius: int):
     """Batches of buckets to the edges of a spanning tree of each connected part; every
-    edge is a pair within the radius. Buckets of up to ``full`` give all such pairs; the
-    trees of others start where the bucket's own seed says, not alike in all buckets."""
-
-    def near_pairs(values: np.ndarray) -> Iterator[tuple[int, int]]:
-        bits = values.view(np.uint64)
-        close = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
-        for i, j in np.argwhere(np.triu(close, 1)).tolist():
-            yield int(values[i]), int(values[j])
+    edge is a pair within the radius. The trees start where the bucket's own seed says,
+    not alike in all buckets."""
 
     def tree(values: np.ndarray) -> Iterator[tuple[int, int]]:
         values = np.sort(values)
@@ -151,22 +132,21 @@ def _local_trees(radius: int, full: int = 2):
                 out += map(tuple, pairs[close].tolist())
             for values in batch["fps"][sizes > 2]:
                 values = np.asarray(values, np.int64)
-                out += (near_pairs if len(values) <= full else tree)(values)
+                out += tree(values)
             edges = np.array(out, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"u": edges[:, 0], "v": edges[:, 1]})
 
     return run
 
 
-def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET, full: int = 2) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints (distinct ``fp``) linked by
     chains of at most ``radius`` differing bits.
 
     A bucket above ``bucket`` is not compared but cut by the masks of the next level:
     pairs in it that belong together still meet under one of them. Each level covers
     about half of the bits left, so the buckets of the last are tiny. Only buckets of
-    two and more leave the count; each gives a tree per part, never all its pairs unless
-    it has no more than ``full`` members.
+    two and more leave the count; each gives a tree per part, never all its pairs.
     """
     spark = fps.sparkSession
     current = fps.select("fp", F.lit(0).cast("long").alias("bucket"))
@@ -182,7 +162,7 @@ def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET, full: int = 2)
         last = level == LEVELS - 1
         small = sized if last else sized.where(F.col("n") <= bucket)
         grouped = small.groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
-        edges = grouped.select("fps").mapInPandas(_local_trees(radius, full), "u long, v long")
+        edges = grouped.select("fps").mapInPandas(_local_trees(radius), "u long, v long")
         found = found.unionByName(edges)
         current = sized.where(F.col("n") > bucket).select("fp", "bucket")
         if last or current.isEmpty():
@@ -220,77 +200,174 @@ def _named(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _contents(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, prints): ``fp`` is a hash of all words in order, so that only texts
-    of the same words in the same order are one node; ``prints`` has one fingerprint of
-    the words for each seed."""
+def _rarest_first(
+    hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float
+) -> np.ndarray:
+    """So many of a set's hashes, in one order for all sets, that two sets of this
+    similarity have one of them in common. Hashes in ``common`` (sorted) come last."""
+    count = np.zeros(len(hashes), np.int64)
+    if len(common) and len(hashes):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        count = np.where(common[at] == hashes, counts[at], 0)
+    length = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, count))][:length]
 
-    @F.pandas_udf("fp long, prints array<long>")
-    def contents(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            split = [words_of(t) for t in texts]
-            whole = [xxhash.xxh64_intdigest(b" ".join(w), 42) for w in split]
-            prints = [
-                np.array([word_fingerprint(w, s) for s in PRINT_SEEDS], np.uint64).view(np.int64)
-                for w in split
-            ]
-            yield pd.DataFrame({"fp": np.array(whole, np.uint64).view(np.int64), "prints": prints})
-
-    return docs.select("doc_id", contents("text").alias("c")).select("doc_id", "c.fp", "c.prints")
-
-
-def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs (u, v) of nodes near in one of their fingerprints. Of nodes that share a
-    fingerprint one stands for the others, which are pairs with it."""
-    found = nodes.sparkSession.createDataFrame([], "u long, v long")
-    for i in range(len(PRINT_SEEDS)):
-        printed = nodes.select(F.col("fp").alias("node"), F.col("prints")[i].alias("fp"))
-        chief = saved(printed.groupBy("fp").agg(F.min("node").alias("chief")), "chiefs")
-        same = printed.join(chief, "fp").where(F.col("node") != F.col("chief"))
-        near = saved(links(chief.select("fp"), radius, full=FULL).distinct(), "near_prints")
-        ends = near.join(chief.select(F.col("fp").alias("u"), F.col("chief").alias("a")), "u").join(
-            chief.select(F.col("fp").alias("v"), F.col("chief").alias("b")), "v"
-        )
-        found = found.unionByName(same.select(F.col("chief").alias("u"), F.col("node").alias("v")))
-        found = found.unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def similar_documents(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 5
-) -> DataFrame:
-    """(doc_id, fp, component_id): documents joined by chains whose links share
-    ``similarity`` of their different shingles of ``width`` words.
 
-    Texts of the same words in the same order are copies. For others, two fingerprints
-    of the words, which differ least between near copies, find the candidates within
-    ``radius`` bits of either; each link is then held against the whole shingle sets of
-    its two texts, which are made for candidates only. A link is looked at for one row
-    of its text: the smallest id; a text without any id is not linked. Candidates are
-    approximate: of the pairs this similar, 98 % were within the radius (README)."""
-    marked = saved(_contents(docs), "contents")
-    grouped = marked.groupBy("fp").agg(
-        F.min("doc_id").alias("first_id"), F.first("prints").alias("prints")
-    )
-    nodes = saved(grouped, "nodes")
-    edges = saved(_candidates(nodes, radius), "candidates")
-    ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    chosen = nodes.join(ends, "fp").select("fp", F.col("first_id").alias("doc_id"))
+def _common(docs: DataFrame, nodes: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ``ORDER_DOCS`` different texts have, and in how many.
+    They only order the shingles: another sample gives other buckets, not other links."""
 
     @F.pandas_udf("array<long>")
     def shingled(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, width) for t in texts])
 
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["fp"])
-    sets = saved(texts.select("fp", shingled("text").alias("s")), "shingles")
+    drawn = docs.select("text", F.xxhash64("text").alias("h"))
+    drawn = drawn.where(F.pmod("h", F.lit(1 << 30)) * F.lit(nodes) < F.lit(ORDER_DOCS << 30))
+    each = drawn.dropDuplicates(["h"]).select(F.explode(shingled("text")).alias("s"))
+    counted = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    rows = counted.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).collect()
+    rows.sort()
+    return np.array([r["s"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
+
+
+def _buckets(docs: DataFrame, nodes: int, width: int, similarity: float) -> DataFrame:
+    """(key, fp, n, pos): texts that share the shingle ``key`` among their rarest, their
+    numbers of shingles and its place in their order. Any two texts of this similarity
+    meet in the bucket of the first shingle that they share."""
+    common, counts = _common(docs, nodes, width)
+
+    @F.pandas_udf("fp long, n int, keys array<long>")
+    def rarest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingles(t, width) for t in texts]
+            yield pd.DataFrame(
+                {
+                    "fp": np.array([whole_text(t) for t in texts], np.int64),
+                    "n": np.array([len(s) for s in sets], np.int32),
+                    "keys": [_rarest_first(s, common, counts, similarity) for s in sets],
+                }
+            )
+
+    each = docs.select(rarest("text").alias("r")).select("r.*").dropDuplicates(["fp"])
+    spread = each.select("fp", "n", F.posexplode("keys").alias("pos", "key"))
+    shared = Window.partitionBy("key")
+    met = spread.withColumn("lo", F.min("fp").over(shared)).withColumn("hi", F.max("fp").over(shared))
+    return met.where("lo != hi").select("key", "fp", "n", "pos")
+
+
+def _open_pairs(roots: int, similarity: float):
+    """Batches of buckets to pairs of different components: the ``roots`` members of the
+    most links with every other that may be similar by its length and the shingle's place."""
+
+    def pairs(fp, n, pos, root, degree) -> Iterator[np.ndarray]:
+        order = np.lexsort((fp, -degree))
+        fp, n, pos, root = fp[order], n[order], pos[order], root[order]
+        left = n - pos  # shingles from the shared one on
+        for i in range(min(roots, len(fp) - 1)):
+            most = np.minimum(left[i], left[i + 1 :])
+            may = most * (1 + similarity) >= similarity * (n[i] + n[i + 1 :]) - 1e-6
+            others = fp[i + 1 :][may & (root[i + 1 :] != root[i])]
+            if len(others):
+                yield np.stack([np.maximum(others, fp[i]), np.minimum(others, fp[i])], axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out, held = [], 0
+            for row in batch.itertuples(index=False):
+                for block in pairs(*(np.asarray(x, np.int64) for x in row)):
+                    out.append(block)
+                    held += len(block)
+                    if held > 100_000:
+                        yield pd.DataFrame(np.concatenate(out), columns=["u", "v"])
+                        out, held = [], 0
+            if out:
+                yield pd.DataFrame(np.concatenate(out), columns=["u", "v"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose whole shingle sets are this similar."""
     both = (
-        edges.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u")
+        pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u")
         .join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
         .withColumn("common", F.size(F.array_intersect("a", "b")))
     )
     union = F.size("a") + F.size("b") - F.col("common")
-    linked = both.where(F.col("common") >= similarity * union).select("u", "v")
-    return _named(marked.drop("prints"), nodes, linked)
+    return both.where(F.col("common") >= similarity * union).select("u", "v")
+
+
+def _similar_links(docs: DataFrame, nodes: int, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) between texts, by ``fp``, that connect exactly what all pairs of this
+    similarity connect. Rounds: some members of each bucket are held against the others
+    of it that are in another component so far; those with the most links, as the
+    original of many copies has after the first round, come first, and more each round
+    until every pair of a bucket is in one component or has been checked."""
+    spark = docs.sparkSession
+    members = saved(_buckets(docs, nodes, width, similarity), "buckets")
+    wanted = members.select("fp").distinct()
+
+    @F.pandas_udf("long")
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([whole_text(t) for t in texts], dtype="int64")
+
+    @F.pandas_udf("array<long>")
+    def shingled(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, width) for t in texts])
+
+    texts = docs.select("text", whole("text").alias("fp")).join(wanted, "fp", "left_semi")
+    sets = saved(texts.dropDuplicates(["fp"]).select("fp", shingled("text").alias("s")), "shingles")
+    found = checked = spark.createDataFrame([], "u long, v long")
+    parts = spark.createDataFrame([], "node long, root long")
+    roots, turn = FIRST_ROOTS, 0
+    while True:
+        ends = found.select(F.explode(F.array("u", "v")).alias("node"))
+        degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        known = parts.join(degrees, "node").withColumnRenamed("node", "fp")
+        root, degree = F.coalesce("root", "fp"), F.coalesce("degree", F.lit(0))
+        member = F.struct("fp", "n", "pos", root.alias("root"), degree.alias("degree"))
+        placed = members.join(known, "fp", "left").select("key", member.alias("m"))
+        grouped = placed.groupBy("key").agg(
+            F.collect_list("m").alias("m"), F.min("m.root").alias("lo"), F.max("m.root").alias("hi")
+        )
+        still = grouped.where("lo != hi").select("m.fp", "m.n", "m.pos", "m.root", "m.degree")
+        still = saved(still, "open_buckets")
+        largest = still.agg(F.max(F.size("fp"))).first()[0]
+        if largest is None:
+            break
+        pairs = still.mapInPandas(_open_pairs(roots, similarity), "u long, v long").distinct()
+        pairs = saved(pairs.join(checked, ["u", "v"], "left_anti"), "pairs")
+        linked = saved(_similar(pairs, sets, similarity), "links")
+        found, checked = found.unionByName(linked), checked.unionByName(pairs)
+        if roots >= largest:
+            break
+        parts = saved(components(found), "parts")
+        roots, turn = SECOND_ROOTS * 8**turn, turn + 1
+    return found
+
+
+def whole_text(text: str | None) -> int:
+    """A hash of all words in order, as a signed number: only texts of the same words in
+    the same order are one node."""
+    digest = xxhash.xxh64_intdigest(b" ".join(words_of(text)), 42)
+    return _signed(digest)
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id): documents joined by chains whose links share
+    ``similarity`` of their different shingles of ``width`` words.
+
+    Texts of the same words in the same order are copies. Others are held against each
+    other by their whole shingle sets if they share one of their rarest shingles, as all
+    texts this similar do, and are not in one component already: no link is missed."""
+
+    @F.pandas_udf("long")
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([whole_text(t) for t in texts], dtype="int64")
+
+    marked = saved(docs.select("doc_id", whole("text").alias("fp")), "contents")
+    nodes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    return _named(marked, nodes, _similar_links(docs, nodes.count(), width, similarity))
 
 
 def digest_rows(found: DataFrame) -> DataFrame:
