@@ -158,20 +158,24 @@ class Restorer:
 
 def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        counts: Counter = Counter()
+        words: Counter = Counter()
         for text in batch["text"]:
-            for word in set(text.lower().split()):
-                if word.isalpha():
-                    s = [0, 0, *map(symbol, word), 0]
-                    counts.update(zip(s, s[1:], s[2:]))
+            words.update(set(text.lower().split()))
+        counts: Counter = Counter()
+        for word, n in words.items():
+            if word.isalpha():
+                s = [0, 0, *map(symbol, word), 0]
+                for key in zip(s, s[1:], s[2:]):
+                    counts[key] += n
         yield pd.DataFrame(
             [(*k, n) for k, n in counts.items()], columns=["a", "b", "c", "n"]
         )
 
 
-def character_model(sample: DataFrame) -> np.ndarray:
-    """The character model of a bounded sample; it has 28^3 entries at most."""
-    counted = sample.select("text").mapInPandas(_trigrams, "a int, b int, c int, n long")
+def character_model(docs: DataFrame) -> np.ndarray:
+    """The character model of all texts; it has 28^3 entries at most."""
+    texts = docs.select("text").where(F.col("text").isNotNull())
+    counted = texts.mapInPandas(_trigrams, "a int, b int, c int, n long")
     rows = counted.groupBy("a", "b", "c").agg(F.sum("n").alias("n")).collect()
     return trigram_model({(r["a"], r["b"], r["c"]): r["n"] for r in rows})
 
@@ -181,10 +185,11 @@ def reader_of(model: np.ndarray) -> Callable[[], Callable[[str], Iterable[str]]]
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS):
-    """(character model, gram model) from at most ``bound`` labelled rows that are not
-    held out. ``labels`` needs (doc_id, toxic), ``docs`` (doc_id, text)."""
+    """(character model, gram model): the first from all texts, the second from at most
+    ``bound`` labelled rows that are not held out. ``labels`` needs (doc_id, toxic),
+    ``docs`` (doc_id, text)."""
     sample = saved(labelled_sample(docs, labels, F.col("toxic"), bound), "toxic_sample")
-    characters = character_model(sample)
+    characters = character_model(docs)
     return characters, fit(sample, 2, reader_of(characters))
 
 
