@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -307,15 +307,11 @@ def _similar_links(docs: DataFrame, nodes: int, width: int, similarity: float) -
     members = saved(_buckets(docs, nodes, width, similarity), "buckets")
     wanted = members.select("fp").distinct()
 
-    @F.pandas_udf("long")
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([whole_text(t) for t in texts], dtype="int64")
-
     @F.pandas_udf("array<long>")
     def shingled(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, width) for t in texts])
 
-    texts = docs.select("text", whole("text").alias("fp")).join(wanted, "fp", "left_semi")
+    texts = docs.select("text", _whole("text").alias("fp")).join(wanted, "fp", "left_semi")
     sets = saved(texts.dropDuplicates(["fp"]).select("fp", shingled("text").alias("s")), "shingles")
     found = checked = spark.createDataFrame([], "u long, v long")
     parts = spark.createDataFrame([], "node long, root long")
@@ -353,6 +349,14 @@ def whole_text(text: str | None) -> int:
     return _signed(digest)
 
 
+def _whole(text: str) -> Column:
+    @F.pandas_udf("long")
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([whole_text(t) for t in texts], dtype="int64")
+
+    return whole(text)
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id): documents joined by chains whose links share
     ``similarity`` of their different shingles of ``width`` words.
@@ -360,16 +364,27 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     Texts of the same words in the same order are copies. Others are held against each
     other by their whole shingle sets if they share one of their rarest shingles, as all
     texts this similar do, and are not in one component already: no link is missed."""
-
-    @F.pandas_udf("long")
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([whole_text(t) for t in texts], dtype="int64")
-
-    marked = saved(docs.select("doc_id", whole("text").alias("fp")), "contents")
+    marked = saved(docs.select("doc_id", _whole("text").alias("fp")), "contents")
     nodes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     return _named(marked, nodes, _similar_links(docs, nodes.count(), width, similarity))
 
 
+def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Exactly one row of each component of ``similar_documents``: that of the smallest
+    id, one without an id only if no other is there. Rows are told apart by all their
+    columns, so ids may be null or repeated; of rows equal in all columns any is taken."""
+    row = F.md5(F.to_json(F.struct(*docs.columns)).cast("binary")).alias("_row_key")
+    marked = saved(docs.select("doc_id", _whole("text").alias("fp"), row), "contents")
+    nodes = saved(marked.groupBy("fp").agg(F.lit(0).alias("one")), "nodes")
+    roots = components(_similar_links(docs, nodes.count(), width, similarity))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row_key")
+    placed = marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    first = placed.groupBy(F.coalesce("root", "fp")).agg(F.min(place).alias("r"))
+    chosen = saved(first.select("r._row_key"), "chosen")
+    rows = docs.select("*", row).join(chosen, "_row_key", "left_semi")
+    return rows.dropDuplicates(["_row_key"]).select(*docs.columns)
+
+
 def digest_rows(found: DataFrame) -> DataFrame:
     """The published columns: the fingerprint as 16 hexadecimal digits."""
     return found.select(
