@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frame_rows import rows
 from tabwright.functions.columns import (
     binary_label,
     int_via_double,

@@ -6,7 +6,7 @@ from pyspark.ml.evaluation import (
 )
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frame_rows import rows
 from tabwright.operators import evaluate as e
 
 # Published confusion counts (TN, FP, FN, TP) and the ratios published with them:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frame_rows import rows
 from tabwright.functions.spec import TableSpec
 from tabwright.functions.vectors import declared_width, flatten_vector, strip_metadata
 from tabwright.operators import features as f

@@ -4,7 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from casebook.fixtures import ACCOUNTS, accounts_raw
-from conftest import rows
+from frame_rows import rows
 from tabwright.operators import evaluate, features, models
 from tabwright.operators.sampling import held
 from tabwright.plans.prepare import feature_rules, prepare, store

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frame_rows import rows
 from tabwright.operators import sampling as s
 
 

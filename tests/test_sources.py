@@ -2,7 +2,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql.types import StringType, StructField, StructType
 
-from conftest import rows
+from frame_rows import rows
 from tabwright.sources import sinks, tables
 from tabwright.sources.workspace import fresh_path, shared_dir
 

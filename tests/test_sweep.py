@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casebook.fixtures import ACCOUNTS, accounts_raw
-from conftest import rows
+from frame_rows import rows
 from tabwright.functions.layouts import (
     SUMMARY_COLUMNS,
     TRIAL_COLUMNS,
