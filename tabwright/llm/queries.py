@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm import (
+    infill,
     ledger,
     mixing,
     neighbours,
@@ -73,6 +74,10 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.digest_rows(ledger.scan_corpus(documents.select("doc_id", "text")))
 
 
+def infilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest_rows(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 #: Name to (query, SQL); SQL can express none of them.
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_quality_rules": (quality_rules, None),
@@ -85,4 +90,5 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "op8_url_verdicts": (url_verdicts, None),
     "op9_toxicity_scores": (toxicity_scores, None),
     "op10_secret_scan": (secret_scan, None),
+    "op11_fill_in_middle": (infilled, None),
 }
