@@ -19,6 +19,7 @@ from tabwright.llm import (
     tokenfile,
     toxicity,
     urls,
+    whitening,
 )
 from tabwright.llm.common import table
 
@@ -78,6 +79,10 @@ def infilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest_rows(infill.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 #: Name to (query, SQL); SQL can express none of them.
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_quality_rules": (quality_rules, None),
@@ -91,4 +96,5 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "op9_toxicity_scores": (toxicity_scores, None),
     "op10_secret_scan": (secret_scan, None),
     "op11_fill_in_middle": (infilled, None),
+    "op13_whitened_embeddings": (whitened_embeddings, None),
 }
