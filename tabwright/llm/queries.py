@@ -19,6 +19,7 @@ from tabwright.llm import (
     tokenfile,
     toxicity,
     urls,
+    warc,
     whitening,
 )
 from tabwright.llm.common import table
@@ -79,6 +80,10 @@ def infilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest_rows(infill.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest_rows(warc.archived(table(spark, sf_dir, "pages")))
+
+
 def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -96,5 +101,6 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "op9_toxicity_scores": (toxicity_scores, None),
     "op10_secret_scan": (secret_scan, None),
     "op11_fill_in_middle": (infilled, None),
+    "op12_web_archives": (archived_pages, None),
     "op13_whitened_embeddings": (whitened_embeddings, None),
 }
