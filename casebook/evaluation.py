@@ -81,6 +81,20 @@ def roc_auc(spark, sf) -> DataFrame:
     return area.select(F.round("ROC_AUC", 9).alias("ROC_AUC"))
 
 
+def roc_auc_odd_scores(spark, sf) -> DataFrame:
+    """Scores of which 40 % are one value, and some are NULL (lowest) or NaN (highest)."""
+    points = F.col("score")
+    odd = (
+        F.when(points % 5 < 2, 95.0)
+        .when(points % 11 == 0, None)
+        .when(points % 13 == 0, float("nan"))
+        .otherwise(points.cast("double"))
+    )
+    rows = scored_models(spark, sf).withColumn("odd", odd)
+    area = evaluate.roc_auc(rows, ["Model"], score="odd")
+    return area.select("Model", F.round("ROC_AUC", 9).alias("ROC_AUC"))
+
+
 def model_metrics(spark, sf) -> DataFrame:
     return evaluate.metric_rows(scored_models(spark, sf), ["Model"], score="score")
 
@@ -117,6 +131,10 @@ _FLAT = """account_id, cast(prediction as double) predicted_label,
            case when prediction=1 then 'Churn' else 'No Churn' end prediction_result,
            round(1 - score/200.0, 6) probability_no_churn,
            round(score/200.0, 6) probability_churn"""
+_ODD = """(select *, case when score % 5 < 2 then 95.0::double
+                        when score % 11 = 0 then -1e300::double
+                        when score % 13 = 0 then 'nan'::double
+                        else score::double end as odd from scored_models)"""
 _COUNTED = f"""(select Model, count(*) n, {SQL_COUNTS}
                from scored_models group by Model) c"""
 
@@ -156,6 +174,10 @@ CASES = {
         roc_auc,
         f"select round(auc, 9) as ROC_AUC from ({sql_auc('scored', '', 'score')}) a",
     ),
+    "roc_auc_odd_scores": (
+        roc_auc_odd_scores,
+        f"select Model, round(auc, 9) as ROC_AUC from ({sql_auc(_ODD, 'Model', 'odd')}) a",
+    ),
     "model_metrics": (model_metrics, "select * from model_metrics"),
     "metric_table": (
         metric_table,

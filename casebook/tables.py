@@ -14,7 +14,7 @@ from casebook.fixtures import (
     table,
 )
 from tabwright.functions.layouts import retype
-from tabwright.operators import clean, profile, sampling, validate
+from tabwright.operators import clean, profile, sampling, selection, validate
 from tabwright.operators.features import category_index
 from tabwright.sources import sinks, tables
 from tabwright.sources.workspace import fresh_path
@@ -188,6 +188,20 @@ def hash_split(spark, sf) -> DataFrame:
     return accounts_split(spark, sf).select("account_id", "split")
 
 
+def exact_split(spark, sf) -> DataFrame:
+    """Exactly three tenths of the rows, rounded down, by the smallest hashes of the key."""
+    rows = accounts_clean(spark, sf).select("account_id", "segment")
+    return selection.exact_split(rows, "account_id", train_share=0.3)
+
+
+def exact_split_repeated_keys(spark, sf) -> DataFrame:
+    """A key of five values, so that the cut goes through rows of one key, and of these
+    through rows that are equal in all columns."""
+    rows = accounts_clean(spark, sf).select("segment", "priority")
+    split = selection.exact_split(rows, "segment", train_share=0.3)
+    return split.groupBy("segment", "priority", "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def random_split(spark, sf) -> DataFrame:
     """Both parts together are the table, and no key is in both."""
     train, test = sampling.random_split(accounts_clean(spark, sf).select("account_id"))
@@ -388,6 +402,26 @@ union all select 'row_count', 'warn', n = 7043, cast(n as varchar), '7043' from
 union all select 'balance_below_zero', 'warn', below = 0, cast(below as varchar), '0' from t""",
     ),
     "hash_split": (hash_split, "select account_id, split from accounts_split"),
+    "exact_split": (
+        exact_split,
+        """select account_id, segment,
+                  case when place <= floor(total * 0.3) then 'train' else 'test' end as split
+           from (select account_id, segment, count(*) over () as total,
+                        row_number() over (order by ('0x'||substr(md5('exact:' || account_id),
+                                                                  1, 15))::bigint) as place
+                 from accounts_clean) r""",
+    ),
+    "exact_split_repeated_keys": (
+        exact_split_repeated_keys,
+        """select segment, priority, case when place <= floor(total * 0.3) then 'train'
+                                         else 'test' end as split, count(*) as rows
+           from (select *, count(*) over () as total, row_number() over (order by
+                     ('0x'||substr(md5('exact:' || segment), 1, 15))::bigint,
+                     ('0x'||substr(md5('exact:{"segment":"' || segment || '","priority":"'
+                                       || priority || '"}'), 1, 15))::bigint) as place
+                 from accounts_clean) r
+           group by 1, 2, 3""",
+    ),
     "random_split": (
         random_split,
         """select count(*) as rows, cast(0 as bigint) as keys_in_both,

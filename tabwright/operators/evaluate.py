@@ -115,6 +115,18 @@ def metric_rows(
     )
 
 
+def _score_cuts(per_score: DataFrame, score: str, used: Sequence[str]) -> Column:
+    """About as many scores as there are shuffle partitions, at even steps of all
+    distinct scores: a quantile sketch that tasks fill from their part and merge. The
+    condition names every column that the other use of ``per_score`` reads, so that
+    both read one shuffle instead of two that differ in their columns."""
+    count = int(per_score.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = [i / count for i in range(1, count)] or [0.5]
+    sketch = F.percentile_approx(score, steps, max(10_000, 50 * count))
+    shared = F.max(F.xxhash64(*used)).isNotNull()
+    return per_score.agg(F.when(shared, sketch).alias("cuts")).scalar()
+
+
 def _from_scores(
     per_score: DataFrame, by: Sequence[str], score: str, sums: Sequence[str]
 ) -> DataFrame:
@@ -123,12 +135,15 @@ def _from_scores(
     A positive beats every negative with a lower score and half of those with its
     own. The distinct scores are cut into ranges of scores, each range is cumulated
     by its own task, and what a range adds to the area needs only two sums of the
-    ranges below it. So no task sees all scores, and the last window runs over one
-    row per range.
+    ranges below it. Where the cuts lie comes from a sketch of the scores, so a range
+    is an expression: rows move once by score and once by range, and what moves after
+    that is one row per range. A NULL score is below all others, NaN above them.
     """
     by = list(by)
-    ranged = per_score.repartitionByRange(*by, score).withColumn(
-        "_range", F.spark_partition_id()
+    cuts = _score_cuts(per_score, score, [*by, "_p", "_n", *sums])
+    below_score = F.filter("_cuts", lambda cut: cut < F.col(score))
+    ranged = per_score.withColumn("_cuts", cuts).withColumn(
+        "_range", F.coalesce(F.size(below_score), F.lit(0))
     )
     below = (
         Window.partitionBy(*by, "_range")
@@ -139,14 +154,11 @@ def _from_scores(
     ranges = (
         ranged.withColumn("_won", F.col("_p") * (lower + F.col("_n") / 2))
         .groupBy(*by, "_range")
-        .agg(
-            F.min(score).alias("_from"),
-            *[F.sum(c).alias(c) for c in ("_won", "_p", "_n", *sums)],
-        )
+        .agg(*[F.sum(c).alias(c) for c in ("_won", "_p", "_n", *sums)])
     )
     earlier = (
         Window.partitionBy(*by)
-        .orderBy("_from")
+        .orderBy("_range")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offset = F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("double")

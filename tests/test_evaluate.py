@@ -140,3 +140,43 @@ def test_flat_scores_with_and_without_label(spark):
     assert tuple(e.prediction_totals(bare).first()) == (2, 1, 1, 50.0)
     assert tuple(e.prediction_totals(bare.limit(0)).first()) == (0, 0, 0, 0.0)
     assert rows(e.prediction_summary(bare)) == [("Churn", 1), ("No Churn", 1)]
+
+
+def test_scores_move_twice_whatever_the_rows(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    spark.range(20_000).selectExpr(
+        "int(id % 3 = 0) label", "double(id % 7919) raw_score", "id % 2 Model", "id % 2 prediction"
+    ).write.parquet(path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its plan is final at once
+    try:
+        plans = {
+            n: e.metric_rows(spark.read.parquet(path), ["Model"][:n])
+            ._jdf.queryExecution()
+            .executedPlan()
+            .toString()
+            for n in (0, 1)
+        }
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for plan in plans.values():
+        moved = [x for x in plan.splitlines() if " Exchange " in x and "Reused" not in x]
+        assert sum("raw_score" in x for x in moved) == 1
+        assert sum("_range" in x for x in moved) == 1
+        assert sum("SinglePartition" in x or "hashpartitioning" in x for x in moved) == len(moved)
+        assert "ReusedExchange" in plan
+
+
+def test_ranges_agree_with_one_window_for_odd_scores(spark):
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1.5, 1e300]
+    data = [(i % 5 % 2, odd[i % 8] if i % 5 > 1 else 0.25, i % 3) for i in range(4_000)]
+    df = spark.createDataFrame(data, "label int, raw_score double, Model int")
+    found = dict(map(tuple, e.roc_auc(df, ["Model"]).collect()))
+
+    def place(score):
+        return (0, 0) if score is None else (2, 0) if score != score else (1, score)
+
+    for model in range(3):
+        own = [(place(s), y) for y, s, m in data if m == model]
+        good, bad = ([p for p, y in own if y == label] for label in (1, 0))
+        won = sum((a > b) + 0.5 * (a == b) for a in good for b in bad)
+        assert found[model] == pytest.approx(won / len(good) / len(bad), abs=1e-12)
