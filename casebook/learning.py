@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from casebook.fixtures import ACCOUNTS, accounts_raw, accounts_split
 from tabwright.functions.layouts import TRIAL_STORE_COLUMNS
-from tabwright.functions.vectors import declared_width, flatten_vector, vector_size
-from tabwright.operators import evaluate, features, models
-from tabwright.operators.sampling import held
+from tabwright.functions.spec import TableSpec
+from tabwright.functions.vectors import declared_width, flatten_vector, set_cells, vector_size
+from tabwright.operators import evaluate, features, index_table, models
+from tabwright.operators.sampling import held, with_split
 from tabwright.plans import sweep as sweep_plan
 from tabwright.plans.prepare import Prepared, prepare
 from tabwright.plans.train import compare
@@ -82,6 +83,57 @@ def features_long(spark, sf) -> DataFrame:
     return flatten_vector(_prepared(spark, sf).features, "account_id", "features")
 
 
+ORDERS = TableSpec(
+    key="o_orderkey",
+    categorical=("o_custkey", "o_orderpriority"),
+    integers=(),
+    doubles=("o_totalprice",),
+    label="o_orderstatus",
+    positive="F",
+    negative="O",
+)
+
+
+def _orders(spark, sf) -> DataFrame:
+    """All orders; the customer has nearly as many values as there are customers, and
+    two fifths of the orders are given to one customer that no index may stumble over."""
+    orders = tables.read_parquet(spark, f"{sf}/orders.parquet")
+    hot = F.when(F.col("o_orderkey") % 5 < 2, "hot").otherwise(F.col("o_custkey").cast("string"))
+    chosen = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 29 > 0, hot))
+    return with_split(chosen.select(*ORDERS.columns), ORDERS.key)
+
+
+def _index_written_twice(spark, sf):
+    """(rows, index): the index of the training rows, after storing and loading."""
+    rows = _orders(spark, sf)
+    path = fresh_path(spark, "index")
+    index_table.fit_index_table(rows.filter("split = 'train'"), ORDERS, path)
+    return rows, index_table.load_index_table(spark, path, ORDERS)
+
+
+def encode_any_cardinality(spark, sf) -> DataFrame:
+    """Every set slot of every order's vector, and how wide the vector is."""
+    rows, index = _index_written_twice(spark, sf)
+    encoded = index_table.write_features(rows, index, fresh_path(spark, "features"))
+    return set_cells(encoded, ORDERS.key, "features").withColumn("width", F.lit(index.width))
+
+
+def index_table_slots(spark, sf) -> DataFrame:
+    return index_table.slot_rows(spark, _index_written_twice(spark, sf)[1])
+
+
+def wide_label_rates(spark, sf) -> DataFrame:
+    """Stored wide features by label: rows, their width, and the slots set in all."""
+    rows, index = _index_written_twice(spark, sf)
+    path = fresh_path(spark, "features")
+    encoded = index_table.write_features(rows, index, path, ["split"], ["split"])
+    return encoded.groupBy("split", "label").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min(vector_size("features")).alias("narrowest"),
+        F.max(vector_size("features")).alias("widest"),
+    )
+
+
 def feature_width(spark, sf) -> DataFrame:
     prepared = _prepared(spark, sf)
     declared = declared_width(prepared.features)
@@ -414,7 +466,53 @@ _STUMP_SIDES = " union all ".join(
     for c in _CATEGORY
 )
 
+_ORDERS = """(select o_orderkey, o_orderpriority, o_totalprice, o_orderstatus,
+                     case when o_orderkey % 29 = 0 then null
+                          when o_orderkey % 5 < 2 then 'hot'
+                          else cast(o_custkey as varchar) end as o_custkey,
+                     case when ('0x'||substr(md5('split:' || cast(o_orderkey as varchar)),
+                                             1, 8))::bigint % 100 < 80
+                          then 'train' else 'test' end as split from orders)"""
+_ORDER_SLOTS = f"""(select column_name, value,
+                           cast(row_number() over (order by place, n desc, value)
+                                as integer) as slot
+                    from (select 'o_custkey' as column_name, 0 as place, o_custkey as value,
+                                 count(*) as n
+                          from {_ORDERS} o where split = 'train' group by o_custkey
+                          union all
+                          select 'o_orderpriority', 1, o_orderpriority, count(*)
+                          from {_ORDERS} o where split = 'train' group by o_orderpriority) v
+                    where value is not null)"""
+_ORDER_WIDTH = f"(select cast(1 + count(*) as integer) from {_ORDER_SLOTS} w)"
+
 CASES = {
+    "encode_any_cardinality": (
+        encode_any_cardinality,
+        f"""select *, {_ORDER_WIDTH} as width
+            from (select o_orderkey, 0 as slot, o_totalprice::double as value
+                  from orders where o_totalprice <> 0
+                  union all
+                  select o_orderkey, s.slot, 1.0::double from {_ORDERS} o
+                  join {_ORDER_SLOTS} s on s.column_name = 'o_custkey' and s.value = o_custkey
+                  union all
+                  select o_orderkey, s.slot, 1.0::double from {_ORDERS} o
+                  join {_ORDER_SLOTS} s on s.column_name = 'o_orderpriority'
+                                       and s.value = o_orderpriority) c""",
+    ),
+    "index_table_slots": (
+        index_table_slots,
+        f"""select 0 as slot, 'o_totalprice' as column_name, null::varchar as value
+            union all select slot, column_name, value from {_ORDER_SLOTS} s""",
+    ),
+    "wide_label_rates": (
+        wide_label_rates,
+        f"""select split, label, count(*) as rows, {_ORDER_WIDTH} as narrowest,
+                   {_ORDER_WIDTH} as widest
+            from (select split, case o_orderstatus when 'F' then 1.0::double
+                                                   when 'O' then 0.0::double end as label
+                  from {_ORDERS} o) r
+            group by split, label""",
+    ),
     "category_index_apply": (
         category_index_apply,
         "select account_id, "

@@ -33,3 +33,13 @@ def flatten_vector(df: DataFrame, key: str, vector: str) -> DataFrame:
     """One row per (key, slot), none for a NULL vector: a narrow explode, no shuffle."""
     cells = F.when(F.col(vector).isNotNull(), vector_to_array(F.col(vector)))
     return df.select(F.col(key), F.posexplode(cells).alias("slot", "value"))
+
+
+def set_cells(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """One row per (key, slot) whose value is not zero, from the stored fields: a sparse
+    vector of a million slots with three set gives three rows."""
+    stored = F.unwrap_udt(F.col(vector))
+    slots = F.coalesce(stored["indices"], F.sequence(F.lit(0), F.size(stored["values"]) - 1))
+    cells = F.arrays_zip(slots.alias("slot"), stored["values"].alias("value"))
+    some = F.when(F.size(stored["values"]) > 0, cells)
+    return df.select(F.col(key), F.inline(some)).filter(F.col("value") != 0)

@@ -18,7 +18,8 @@ MAX_VOCABULARY = 10_000
 
 
 class VocabularyTooLarge(ValueError):
-    """A column has more distinct values than a one-hot vector should hold."""
+    """A column has more distinct values than the driver should hold; for such columns
+    there is ``operators.index_table``."""
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

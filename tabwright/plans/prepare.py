@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.spec import TableSpec
 from tabwright.operators.clean import clean
 from tabwright.operators.features import MAX_VOCABULARY, encode, fit_encoder, slots
+from tabwright.operators.index_table import IndexTable, fit_index_table, write_features
 from tabwright.operators.sampling import with_split
 from tabwright.operators.validate import (
     columns_present,
@@ -67,6 +68,40 @@ def prepare(
     return Prepared(rows, fit_encoder(train, spec, max_vocabulary), spec)
 
 
+@dataclass(frozen=True)
+class WidePrepared:
+    """Stored features, and the index table that they were encoded by."""
+
+    features: DataFrame
+    encoder: IndexTable
+    spec: TableSpec
+
+    @property
+    def width(self) -> int:
+        return self.encoder.width
+
+    def split(self, name: str) -> DataFrame:
+        """One part; it lies in a folder of its own."""
+        return self.features.filter(F.col("split") == name).drop("split")
+
+
+def prepare_wide(
+    raw: DataFrame,
+    spec: TableSpec,
+    index_path: str,
+    features_path: str,
+    train_percent: int = 80,
+) -> WidePrepared:
+    """As ``prepare`` and ``store``, for columns of any number of values: the index of the
+    training rows and the features are written tables, and the features are gated."""
+    enforce(validate(raw.limit(0), [columns_present(*spec.columns)]))
+    rows = with_split(clean(raw, spec), spec.key, train_percent)
+    index = fit_index_table(rows.filter(F.col("split") == "train"), spec, index_path)
+    features = write_features(rows, index, features_path, ["split"], ["split"])
+    enforce(validate(features, feature_rules(index.width, complete=False)))
+    return WidePrepared(features, index, spec)
+
+
 def feature_rules(width: int, complete: bool) -> list:
     """The gates before a sink (label a subset of 0 and 1) or a fit (both occur)."""
     return [
