@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.llm.tokenfile import with_flag, with_nulls
 from tabwright.llm.tokens import words
 
 LENGTH = 2_048
@@ -49,7 +50,7 @@ class Packer:
         self.room = self.limits.copy()
 
     def place(self, items: list[tuple]) -> list[tuple]:
-        """Put all items (doc_id, start, ids, loss, doc_tokens) into sequences; gives
+        """Put all items (place, start, ids, loss, doc_tokens) into sequences; gives
         (item, first id taken, ids taken, sequence, offset) for every piece."""
         out = []
         if not items:
@@ -86,17 +87,19 @@ class Packer:
 
 def _pack(path: str, lower: bool, end_id: int, limits: tuple[int, int, int], window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = words(path, lower).text
+        encoded = words(path, lower).texts
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for at in range(0, len(batch), window):
                 part = batch.iloc[at : at + window]
                 items = []
-                for doc_id, text, bearing in zip(part["doc_id"], part["text"], part["loss"]):
-                    ids = np.frombuffer(encode(text) + end, "<u4")
+                texts = zip(encoded(part["text"]), part["loss"])
+                for place, (text, bearing) in enumerate(texts):
+                    ids = np.frombuffer(text + end, "<u4")
                     loss = np.full(len(ids), bearing, np.int64)
-                    items.append((doc_id, 0, ids, loss, len(ids)))
+                    items.append((place, 0, ids, loss, len(ids)))
+                doc_ids, named = part["doc_id"].to_numpy(), part["named"].to_numpy()
                 rows = [
                     (
                         items[k][0],
@@ -111,7 +114,8 @@ def _pack(path: str, lower: bool, end_id: int, limits: tuple[int, int, int], win
                     for k, begin, size, used, sequence, offset in packer.place(items)
                 ]
                 frame = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
+                places = frame["doc_id"].to_numpy(np.int64)
+                frame["doc_id"] = with_nulls(doc_ids[places], named[places])
                 yield frame
 
     return run
@@ -133,9 +137,7 @@ def pack(
     loss (null counts as true); without it all do. No shuffle: the partitions are the
     caller's, and a sequence's id holds its partition's number."""
     bearing = F.coalesce(F.col(loss_column), F.lit(True)) if loss_column else F.lit(True)
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", bearing.alias("loss")
-    )
+    rows = docs.select(*with_flag("doc_id"), "text", bearing.alias("loss"))
     limits = (length, segments, loss_tokens)
     return rows.mapInPandas(_pack(tokenizer_path, lower, end_id, limits, window), PIECE)
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,7 +39,8 @@ STRIDE = 256
 #: A block is closed at the end of the document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
 BLOCK = (
-    "part int, before long, n_ids long, doc_ids array<long>, lengths array<long>, "
+    "part int, before long, n_ids long, doc_ids array<long>, named array<boolean>, "
+    "lengths array<long>, "
     "offsets array<long>, words binary"
 )
 
@@ -140,31 +141,47 @@ def decode(data: bytes, n: int) -> np.ndarray:
 
 def _blocks(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        text_ids = words(path, False).text
+        encoded = words(path, False).texts
         end = np.array([end_id], "<u4").tobytes()
-        part, before, names, ids = TaskContext.get().partitionId(), 0, [], []
+        part, before, names, named, ids = TaskContext.get().partitionId(), 0, [], [], []
 
         def close() -> pd.DataFrame:
             stream = np.frombuffer(b"".join(ids), "<u4")
             coded, offsets = encode(stream)
-            row = (part, before, len(stream), names, [len(x) // 4 for x in ids], offsets, coded)
+            lengths = [len(x) // 4 for x in ids]
+            row = (part, before, len(stream), names, named, lengths, offsets, coded)
             return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCK.split(", ")])
 
         size = 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                names.append(None if pd.isna(doc_id) else int(doc_id))
-                ids.append(text_ids(text) + end)
+            texts = encoded(batch["text"])
+            for doc_id, has_id, text in zip(batch["doc_id"], batch["named"], texts):
+                names.append(doc_id)
+                named.append(has_id)
+                ids.append(text + end)
                 size += len(ids[-1]) // 4
                 if size >= block_ids:
                     yield close()
-                    before, size, names, ids = before + size, 0, [], []
+                    before, size, names, named, ids = before + size, 0, [], [], []
         if names:
             yield close()
 
     return run
 
 
+def with_flag(doc_id: str) -> list[Column]:
+    """The id without nulls, and whether there is one: a long column with nulls would
+    be handed to Python as doubles, which cannot tell large ids apart."""
+    column = F.col(doc_id).cast("long")
+    return [F.coalesce(column, F.lit(0)).alias("doc_id"), column.isNotNull().alias("named")]
+
+
+def with_nulls(doc_ids, named) -> pd.arrays.IntegerArray:
+    """Whole ids of pandas, null where there was none."""
+    values = np.array(doc_ids, np.int64)
+    return pd.arrays.IntegerArray(values, ~np.array(named, bool))
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -181,7 +198,7 @@ def write_tokens(
     )
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, "doc_id", "h")
-    ordered = ranged.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    ordered = ranged.sortWithinPartitions("doc_id", "h", "text").select(*with_flag("doc_id"), "text")
     ordered.mapInPandas(_blocks(tokenizer_path, end_id, block_ids), BLOCK).write.parquet(path)
 
 
@@ -203,7 +220,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(lengths)
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array(list(row.doc_ids), dtype="Int64"),
+                        "doc_id": with_nulls(row.doc_ids, row.named),
                         "start": row.earlier + row.before + ends - lengths,
                         "n_tokens": lengths,
                         "ids": [ids[e - n : e].tobytes() for e, n in zip(ends, lengths)],

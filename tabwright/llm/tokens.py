@@ -3,26 +3,32 @@
 A worker encodes each word once and remembers its ids, as packed 32-bit numbers; a
 text is then a join of what is remembered. That is exact only where the tokenizer
 never joins characters across the cut, so the cuts are those of its own rules, and a
-text (or word) that leaves them is encoded as it is.
+text (or word) that leaves them is encoded as it is. The words of a block of texts that
+are not remembered are encoded together, as one text whose ids say where a word begins
+or ends. What a worker remembers is bounded by bytes: it forgets the words that it has
+not met since it last did so.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 
-#: Words that a worker remembers before it starts afresh.
-MEMO = 1_200_000
+#: Bytes that a worker remembers, and what a word takes besides its letters and ids.
+MEMO_BYTES, WORD_BYTES = 160 << 20, 190
+#: Characters of the texts, and words, that are looked at together.
+BLOCK_CHARS, BLOCK_WORDS = 1 << 19, 2_048
 #: Letters (but the one whose lower case is two characters), then signs.
 _PUNCTUATION = re.compile(r"""([^\W\d_\u0130]+)([!-&(-/:-@[-`{-~]+)""")
 #: Space inside or at the end of a longer gap: there a cut would change the ids. Only
 #: a text where a gap goes on behind a space can have one.
 _GAP_GOES_ON = re.compile(r" (?:\s|\Z)")
 _INSIDE_GAP = re.compile(r"\s (?:\s|\Z)")
-
+_GAP_OR_MARK = re.compile(r"[\s\0]")
 
 #: Letters that are a token's own and have one lower case of one letter.
 _PLAIN = re.compile(r"( ?)([^\W\d_\u0130\u0180-\U0010ffff]+)")
@@ -55,6 +61,14 @@ class Words(dict):
 
         self.tokenizer, self.lower = Tokenizer.from_file(path), lower
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.before: dict[str, bytes] = {}  # what was remembered until it was too much
+        self.held = 0
+        space = self.letters[ord(" ")]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Ids that end a word (lower-cased words have an end mark) or begin one.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.endswith("</w>") if lower else token.startswith(space)
 
     def encode(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -71,8 +85,10 @@ class Words(dict):
         """Ids of a word not remembered. A word made of known parts is remembered only
         if its stem was met before, a line break with its two words never: most of
         them are met once."""
-        if len(self) >= MEMO:
-            self.clear()
+        known_before = self.before.get(key)
+        if known_before is not None:
+            self._remember(key, known_before)
+            return known_before
         bare = key[:1] == "\0" and not self.lower
         word = key[1:] if bare else key
         lines = word.split("\n")
@@ -92,9 +108,64 @@ class Words(dict):
         else:
             known, ids = True, self.piece(word if bare or self.lower else " " + word)
         if known:
-            self[key] = ids
+            self._remember(key, ids)
         return ids
 
+    def _remember(self, key: str, ids: bytes) -> None:
+        self[key] = ids
+        self.held += len(key) + len(ids) + WORD_BYTES
+        if self.held > MEMO_BYTES // 2:
+            self.before, self.held = dict(self), 0
+            self.clear()
+
+    def _learn(self, unknown: set[str]) -> None:
+        """Encode words together. A block whose edges are not one per word is left to
+        be encoded word by word."""
+        earlier = self.before
+        for key in [w for w in unknown if w in earlier]:
+            self._remember(key, earlier[key])
+        if self.lower:
+            plain = [w for w in unknown if w not in earlier and w.isalpha()]
+        else:
+            plain = [w for w in unknown if w and w not in earlier and not _GAP_OR_MARK.search(w)]
+        for at in range(0, len(plain), BLOCK_WORDS):
+            block = plain[at : at + BLOCK_WORDS]
+            text = ("" if self.lower else " ") + " ".join(block)
+            (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            edges = np.flatnonzero(self.edge[ids]) * 4
+            if len(edges) != len(block):
+                continue
+            if self.lower:
+                starts, ends = [0, *(edges[:-1] + 4).tolist()], (edges + 4).tolist()
+            else:
+                starts, ends = edges.tolist(), [*edges[1:].tolist(), 4 * len(ids)]
+            if starts[0] or ends[-1] != 4 * len(ids):
+                continue
+            data = ids.tobytes()
+            for word, a, b in zip(block, starts, ends):
+                self._remember(word, data[a:b])
+
+    def texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Packed ids of each of the texts, a block of them at a time."""
+        block: list[str | None] = []
+        size = 0
+        for text in texts:
+            block.append(text)
+            size += len(text or "")
+            if size >= BLOCK_CHARS:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+    def _block(self, block: list[str | None]) -> Iterator[bytes]:
+        unknown: set[str] = set()
+        for text in block:
+            if text:
+                unknown.update(text.split(" "))
+        self._learn(unknown.difference(self))
+        yield from map(self.text, block)
+
     @staticmethod
     def __parted(lines: list[str]) -> bool:
         """Whether each line break stands alone between other characters."""
