@@ -27,7 +27,7 @@ WHOLE = 24
 MAX_GRAMS = 4_096
 MIN_SUPPORT = 8
 MIN_G2 = 30.0
-#: Words that a worker remembers before it starts afresh.
+#: Words that a task remembers before it starts afresh: 40 MB or so.
 MEMO = 200_000
 
 Reader = Callable[[str], Iterable[str]]
@@ -54,22 +54,12 @@ class GramModel:
         """Words of a text to the probabilities of the classes. One scorer serves
         many texts and remembers which of its grams a word has."""
         names = list(self.weights)
-        index = {g: i for i, g in enumerate(names)}
         base = np.array(self.intercepts)
         matrix = np.array([self.weights[g] for g in names]).reshape(len(names), len(base))
-        memo: dict[str, tuple[int, ...]] = {}
+        memo = _Places(names)
 
         def score(words: Iterable[str]) -> np.ndarray:
-            known: set[int] = set()
-            for word in set(words):
-                ids = memo.get(word)
-                if ids is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    ids = tuple(index[g] for g in grams_of(word) if g in index)
-                    memo[word] = ids
-                if ids:
-                    known.update(ids)
+            known = set().union(*map(memo.__getitem__, set(words)))
             margin = base + matrix[sorted(known)].sum(axis=0) if known else base
             shares = np.exp(margin - margin.max())
             return shares / shares.sum()
@@ -77,6 +67,29 @@ class GramModel:
         return score
 
 
+class _Places(dict):
+    """A word's grams among the known ones, by their places, remembered."""
+
+    def __init__(self, names: Iterable[str]):
+        super().__init__()
+        self.kinds: dict[str, dict[str, int]] = {"=": {}, "^": {}, "$": {}}
+        for place, name in enumerate(names):
+            self.kinds[name[0]][name[1:]] = place
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= MEMO:
+            self.clear()
+        whole, first, last = self.kinds["="], self.kinds["^"], self.kinds["$"]
+        size = len(word)
+        found = [first.get(word[:n]) for n in range(3, min(size, 6) + 1)]
+        found += [last.get(word[-n:]) for n in range(2, min(size, 3) + 1)]
+        if size <= WHOLE:
+            found.append(whole.get(word))
+        places = tuple([p for p in found if p is not None])
+        self[word] = places
+        return places
+
+
 def _count(reader_of: Callable[[], Reader]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = reader_of()

@@ -3,23 +3,35 @@
 A classifier trained from labels gives each document a posterior over the domains. A
 document's rate is how often it is to be taken; the expected tokens of a domain are
 the sum of rate x posterior x tokens. Rates are the nonnegative least squares fit of
-those totals to the targets, by accelerated projected gradient from rates of one: the
-gradient of a document is a combination of its own posteriors, so a pass over the
-corpus needs the few numbers of each earlier step and gives back the few totals. No
-pass moves documents; the rates are worked out from the steps, in any task.
+those totals to the targets, each domain's miss measured as a share of its own target,
+so that a small domain counts as much as a large one. Projected gradient from rates of
+one: the gradient of a document is a combination of its own posteriors, so a step is an
+expression over a document's own columns and an aggregation of the totals; no step moves
+documents. The gradient is scaled by the second moments of the documents that are free
+to move (in the two-metric form, where those at their bound that it would push beyond it
+stay), which meets targets that can be met in a few steps. Where such a step does not
+help, as no rates meet the targets, plain accelerated steps go on to the optimum. After
+a step its few numbers per document are written and read back: expressions of several
+steps on top of each other grow faster than the steps.
+
+The fit ends when all totals are at their targets, or when no step can bring them
+nearer: the projected gradient is zero. The miss that is left is a column of the result,
+and no number of steps ends the fit before.
 
 Null and empty texts have no tokens: they weigh nothing, and their rate follows their
 posterior like any other. A domain without tokens cannot be met and is left out of the
-fit's end test. Repeated rows have one rate each. Missing labels: all domains alike.
+fit. Repeated rows have one rate each. Missing labels: all domains alike. Without tokens
+all rates are one. Columns of the input do not clash: a row is carried as one struct.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import FIT_ROWS, labelled_sample, saved
@@ -29,10 +41,9 @@ from tabwright.llm.grams import GramModel, fit, words_of
 DOMAINS = ("clean", "junk", "toxic")
 #: Shares of the tokens that are to come from each domain.
 TARGETS = (0.96, 0.035, 0.005)
-STEPS = 60
-#: The fit ends if all totals are this near (as shares of the tokens), or a step moves
-#: none of them by a tenth of it.
-TOLERANCE = 1e-3
+#: The fit ends if each total is this near its target (as a share of it), or if a step
+#: changes the rates by no more than this (root of the mean square over tokens).
+TOLERANCE, STILL = 1e-4, 1e-6
 SEED = 11
 
 
@@ -67,74 +78,155 @@ def with_posteriors(docs: DataFrame, model: GramModel) -> DataFrame:
     ).drop("_mix")
 
 
-def rates(posteriors: np.ndarray, steps: Sequence[np.ndarray], momenta: Sequence[float]):
-    """Rates after the steps: r(t+1) = max(0, y(t) - P s(t)), where y(t) is r(t) moved
-    on by the momentum of the step before. Gives r and the point of the next gradient."""
+@dataclass(frozen=True)
+class Step:
+    """What a document's posteriors are multiplied by to get its move; the gradient that
+    says which documents are free, in scaled steps; the momentum of the plain ones."""
+
+    move: np.ndarray
+    gradient: np.ndarray | None = None
+    momentum: float = 0.0
+
+
+@dataclass
+class Fit:
+    """The steps that lead from rates of one to the fitted ones, the tokens then expected
+    of each domain, those wanted, and which domains have any."""
+
+    steps: list[Step]
+    totals: np.ndarray
+    wanted: np.ndarray
+    reachable: np.ndarray
+
+    @property
+    def gap(self) -> float:
+        """The largest miss of a domain that has tokens, as a share of its target."""
+        miss = np.abs(self.totals - self.wanted)[self.reachable]
+        return float((miss / self.wanted[self.reachable]).max(initial=0.0))
+
+
+def rates(posteriors: np.ndarray, floors: np.ndarray, steps: Sequence[Step]) -> np.ndarray:
+    """Rates after the steps. Plain ones start ``ahead`` of the rate, moved on by the
+    momentum of the one before."""
     rate = ahead = np.ones(len(posteriors))
-    for step, momentum in zip(steps, momenta):
-        after = np.maximum(0.0, ahead - posteriors @ step)
-        ahead, rate = after + momentum * (after - rate), after
-    return rate, ahead
+    for step in steps:
+        if step.gradient is not None:
+            free = (rate > floors) | (posteriors @ step.gradient < 0)
+            rate = np.where(free, np.maximum(floors, rate - posteriors @ step.move), rate)
+            ahead = rate
+        else:
+            after = np.maximum(floors, ahead - posteriors @ step.move)
+            ahead, rate = after + step.momentum * (after - rate), after
+    return rate
 
 
 def _matrix(posteriors: pd.Series) -> np.ndarray:
     return np.stack(posteriors.to_list()) if len(posteriors) else np.zeros((0, len(DOMAINS)))
 
 
-def fit_steps(members: DataFrame, targets: Sequence[float], first_times: float | None = None):
-    """(steps, momenta, totals): the fit's history over (tokens, posterior); totals are
-    the tokens expected of each domain. All the tokens wanted are as many as there are,
-    or with ``first_times`` so many that the first domain is wanted so many times over."""
+def least_rate(keep_first: bool) -> Column:
+    """One for documents that are most likely of the first domain, if they are to be
+    kept; else zero."""
+    likely = F.col("posterior")[0] >= F.array_max("posterior")
+    return F.when(likely & F.lit(keep_first), 1.0).otherwise(0.0)
+
+
+def fit_rates(
+    members: DataFrame,
+    targets: Sequence[float],
+    first_times: float | None = None,
+    floor: Column | None = None,
+) -> Fit:
+    """Fit over (tokens, posterior). All the tokens wanted are as many as there are, or
+    with ``first_times`` so many that the first domain is wanted so many times over. No
+    rate goes below its ``floor``, which is one at most."""
     k = len(targets)
-    members = saved(members.select("tokens", "posterior"), "posteriors")
-    squares = [
-        F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("posterior")[j])
-        for i in range(k)
-        for j in range(k)
-    ]
-    first = members.agg(F.sum("tokens"), *squares).first()
+    names = [f"p{i}" for i in range(k)]
+    state = saved(
+        members.select(
+            F.col("tokens").cast("double").alias("tokens"),
+            *(F.col("posterior")[i].alias(name) for i, name in enumerate(names)),
+            (F.lit(0.0) if floor is None else floor).alias("floor"),
+            F.lit(1.0).alias("rate"),
+            F.lit(1.0).alias("ahead"),
+        ),
+        "posteriors",
+    )
+    squares = [F.sum(F.col("tokens") * F.col(a) * F.col(b)) for a in names for b in names]
+    first = state.agg(F.sum("tokens"), *squares).first()
     total = float(first[0] or 0)
+    share = np.array(targets, float) / sum(targets)
     if not total:
-        return [], [], np.zeros(k)
+        return Fit([], np.zeros(k), share, np.zeros(k, bool))
     gram = np.array(first[1:], np.float64).reshape(k, k) / total
-    want = np.array(targets) / sum(targets)
-    if first_times is not None:
-        want *= first_times * gram[0].sum() / want[0]
-    lipschitz = float(np.linalg.eigvalsh(gram)[-1])
-    names = ", ".join(f"{kind}{i} double" for kind in "ra" for i in range(k))
-    steps: list[np.ndarray] = []
-    momenta: list[float] = []
-    pace, now = 1.0, np.full(k, np.inf)
-
-    while True:
-
-        def totals(batches: Iterator[pd.DataFrame], s=tuple(steps), m=tuple(momenta)):
-            for batch in batches:
-                p = _matrix(batch["posterior"])
-                weighted = p * (batch["tokens"].to_numpy() / total)[:, None]
-                sums = [x @ weighted for x in rates(p, s, m)]
-                yield pd.DataFrame([np.concatenate(sums)], columns=[c.split()[0] for c in names.split(", ")])
-
-        parts = members.select("tokens", "posterior").mapInPandas(totals, names)
-        row = parts.agg(*(F.sum(c.split()[0]) for c in names.split(", "))).first()
-        before, now = now, np.array(row[:k], float)
-        ahead, reachable = np.array(row[k:], float), np.diag(gram) > 0
-        near = np.abs(now - want)[reachable].max(initial=0.0) < TOLERANCE
-        still = np.abs(now - before).max() < TOLERANCE / 10
-        if near or still or len(steps) == STEPS:
-            return steps, momenta, now * total
-        following = (1 + (1 + 4 * pace**2) ** 0.5) / 2
-        steps.append((ahead - want) / lipschitz)
-        momenta.append((pace - 1) / following)
-        pace = following
-
-
-def with_rate(members: DataFrame, steps: Sequence, momenta: Sequence) -> DataFrame:
+    now = gram.sum(axis=1)  # the posteriors of a document add up to one
+    want = share if first_times is None else share * (first_times * now[0] / share[0])
+    reachable = (np.diag(gram) > 0) & (want > 0)
+    scale = np.divide(1.0, want, out=np.zeros(k), where=reachable)
+
+    def along(vector: np.ndarray) -> Column:
+        return sum((F.lit(float(v)) * F.col(p) for v, p in zip(vector, names)), F.lit(0.0))
+
+    def measured(frame: DataFrame) -> tuple[np.ndarray, float]:
+        """Totals after the step, and the mean square change from where it began."""
+        change = (F.col("after") - F.col("ahead")) * (F.col("after") - F.col("ahead"))
+        sums = [F.sum(F.col("tokens") * F.col(p) * F.col("after")) for p in names]
+        row = frame.agg(F.sum(F.col("tokens") * change), *sums).first()
+        return np.array(row[1:], float) / total, row[0] / total
+
+    def missed(totals: np.ndarray) -> float:
+        return float((((totals - want) * scale) ** 2).sum())
+
+    fit = Fit([], now * total, want * total, reachable)
+
+    def taken(frame: DataFrame, step: Step, totals: np.ndarray) -> DataFrame:
+        """The state after the step, as a table."""
+        fit.steps.append(step)
+        fit.totals = totals * total
+        ahead = F.col("after") + F.lit(step.momentum) * (F.col("after") - F.col("rate"))
+        rate = F.col("after").alias("rate")
+        return saved(frame.select("tokens", *names, "floor", rate, ahead.alias("ahead")), "rates")
+
+    helps = True
+    while helps and fit.gap >= TOLERANCE:
+        gradient = scale**2 * (now - want)
+        free = (F.col("rate") > F.col("floor")) | (along(gradient) < 0)
+        row = state.where(free).agg(*squares).first()
+        moments = np.array([v or 0.0 for v in row], float).reshape(k, k) / total
+        move = np.linalg.lstsq(scale[:, None] * moments, scale * (now - want), rcond=1e-10)[0]
+        for length in (1.0, 0.25, 0.0625):
+            moved = F.greatest("floor", F.col("rate") - along(length * move))
+            frame = state.withColumn("after", F.when(free, moved).otherwise(F.col("rate")))
+            totals, _ = measured(frame)
+            helps = missed(totals) < (1 - 0.1 * length) * missed(now)
+            if helps:
+                state, now = taken(frame, Step(length * move, gradient), totals), totals
+                break
+    steepest = float(np.linalg.eigvalsh(gram * np.outer(scale, scale))[-1])
+    pace, ahead_now, still = 1.0, now, False
+    while fit.gap >= TOLERANCE and not still:
+        step = scale**2 * (ahead_now - want) / steepest
+        frame = state.withColumn("after", F.greatest("floor", F.col("ahead") - along(step)))
+        totals, change = measured(frame)
+        if missed(totals) > missed(now):  # the momentum led astray: start it afresh
+            pace, momentum = 1.0, 0.0
+        else:
+            following = (1 + (1 + 4 * pace**2) ** 0.5) / 2
+            pace, momentum = following, (pace - 1) / following
+        ahead_now = totals + momentum * (totals - now)  # totals are linear in the rates
+        state, now = taken(frame, Step(step, momentum=momentum), totals), totals
+        still = change**0.5 < STILL
+    return fit
+
+
+def with_rate(members: DataFrame, fit: Fit, floor: Column | None = None) -> DataFrame:
+    """The frame with ``rate``: the steps are worked out again for each document."""
+
     @F.pandas_udf("double")
-    def rate(posteriors: pd.Series) -> pd.Series:
-        return pd.Series(rates(_matrix(posteriors), steps, momenta)[0])
+    def rate(posteriors: pd.Series, floors: pd.Series) -> pd.Series:
+        return pd.Series(rates(_matrix(posteriors), floors.to_numpy(float), fit.steps))
 
-    return members.withColumn("rate", rate("posterior"))
+    return members.withColumn("rate", rate("posterior", F.lit(0.0) if floor is None else floor))
 
 
 def copies(rate: F.Column, doc_id: F.Column) -> F.Column:
@@ -145,19 +237,21 @@ def copies(rate: F.Column, doc_id: F.Column) -> F.Column:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS) -> DataFrame:
-    """(doc_id, tokens, p_<domain>..., rate, copies) of every document."""
+    """(doc_id, tokens, p_<domain>..., rate, copies, target_gap) of every document; the
+    gap, one value, is the largest miss of a domain as a share of its target."""
     model = train(docs, labels)
     members = saved(
         with_posteriors(docs.select("doc_id", "text"), model).drop("text"), "members"
     )
-    steps, momenta, _ = fit_steps(members, targets)
-    rated = with_rate(members, steps, momenta)
+    fitted = fit_rates(members, targets)
+    rated = with_rate(members, fitted)
     return rated.select(
         "doc_id",
         "tokens",
         *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)),
         "rate",
         copies(F.col("rate"), F.col("doc_id")).alias("copies"),
+        F.lit(fitted.gap).alias("target_gap"),
     )
 
 
@@ -167,13 +261,14 @@ def resampled(
     targets: Sequence[float] = TARGETS,
     first_times: float | None = None,
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says, with its own columns."""
+    """The rows of ``docs``, each as often as its rate says, with its own columns. With
+    ``first_times``, documents most likely of the first domain are never left out."""
     model = train(docs, labels)
     names = docs.columns
     whole = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "_row.text")
     scored = saved(with_posteriors(whole, model).drop("text"), "members")
-    steps, momenta, _ = fit_steps(scored, targets, first_times)
-    rated = with_rate(scored, steps, momenta)
+    floor = least_rate(first_times is not None)
+    rated = with_rate(scored, fit_rates(scored, targets, first_times, floor), floor)
     times = copies(F.col("rate"), F.col("_row.doc_id"))
     return (
         rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))

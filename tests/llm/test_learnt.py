@@ -68,25 +68,75 @@ def test_quality_rules_of_odd_texts(spark):
     assert {r["rule"] for r in rows} == {0}
 
 
+def members_of(spark, posteriors, tokens):
+    rows = [(i, int(t), p.tolist()) for i, (t, p) in enumerate(zip(tokens, posteriors))]
+    return spark.createDataFrame(rows, "doc_id long, tokens long, posterior array<double>")
+
+
+def rates_of(members, fit, floor=None):
+    found = {r["doc_id"]: r["rate"] for r in mixing.with_rate(members, fit, floor).collect()}
+    return np.array([found[i] for i in range(len(found))])
+
+
 def test_mixing_meets_reachable_targets(spark):
     rng = np.random.default_rng(3)
     posteriors = rng.dirichlet([0.4, 0.4, 0.4], 3_000)
     tokens = rng.integers(0, 500, len(posteriors))
-    rows = [(i, int(t), p.tolist()) for i, (t, p) in enumerate(zip(tokens, posteriors))]
-    members = spark.createDataFrame(rows, "doc_id long, tokens long, posterior array<double>")
-    steps, momenta, totals = mixing.fit_steps(members, (0.6, 0.3, 0.1))
-    found = {r["doc_id"]: r["rate"] for r in mixing.with_rate(members, steps, momenta).collect()}
-    rate = np.array([found[i] for i in range(len(rows))])
-    assert (rate >= 0).all()
-    expected = (rate * tokens) @ posteriors
-    assert expected == pytest.approx(totals, rel=1e-9)
-    assert np.abs(expected / tokens.sum() - (0.6, 0.3, 0.1)).max() < 5 * mixing.TOLERANCE
-    # The plain steps over all rows at once give the same rates.
-    plain = ahead = np.ones(len(rows))
-    for step, momentum in zip(steps, momenta):
-        after = np.maximum(0, ahead - posteriors @ step)
-        plain, ahead = after, after + momentum * (after - plain)
-    assert rate == pytest.approx(plain, abs=1e-12)
+    members = members_of(spark, posteriors, tokens)
+    for targets in ((0.6, 0.3, 0.1), mixing.TARGETS):
+        fit = mixing.fit_rates(members, targets)
+        rate = rates_of(members, fit)
+        assert (rate >= 0).all() and fit.gap < mixing.TOLERANCE
+        expected = (rate * tokens) @ posteriors
+        assert expected == pytest.approx(fit.totals, rel=1e-9)
+        assert expected / tokens.sum() == pytest.approx(targets, rel=1e-3)
+
+
+def coordinate_descent(posteriors, tokens, targets, floors):
+    """An independent solver of the same least squares, one document at a time."""
+    a = posteriors.T * (tokens / tokens.sum()) / np.array(targets)[:, None]
+    rate, gap = np.ones(len(tokens)), a.sum(axis=1) - 1
+    for _ in range(2_000):
+        for i in np.flatnonzero(tokens):
+            new = max(floors[i], rate[i] - a[:, i] @ gap / (a[:, i] @ a[:, i]))
+            gap += a[:, i] * (new - rate[i])
+            rate[i] = new
+    return (rate * tokens) @ posteriors, 0.5 * gap @ gap
+
+
+def test_mixing_is_the_least_squares_optimum_where_targets_cannot_be_met(spark):
+    rng = np.random.default_rng(4)
+    posteriors = 0.2 + 0.4 * rng.dirichlet([1, 1, 1], 12)  # no domain is ever pure
+    tokens = np.array([0, *rng.integers(20, 50, 11)])
+    members, targets = members_of(spark, posteriors, tokens), (0.9, 0.08, 0.02)
+    for keep_first in (True,):
+        floor = mixing.least_rate(keep_first)
+        fit = mixing.fit_rates(members, targets, floor=floor)
+        floors = (posteriors.argmax(axis=1) == 0) * float(keep_first)
+        totals, objective = coordinate_descent(posteriors, tokens, targets, floors)
+        rate = rates_of(members, fit, floor)
+        assert (rate >= floors).all() and fit.gap > 0.01
+        assert fit.totals == pytest.approx(totals, rel=1e-3)
+        miss = fit.totals / tokens.sum() / targets - 1
+        assert 0.5 * miss @ miss == pytest.approx(objective, rel=1e-4)
+
+
+def test_a_domain_without_tokens_is_left_out(spark):
+    posteriors = np.array([[1.0, 0.0, 0.0], [0.5, 0.5, 0.0], [0.0, 1.0, 0.0]])
+    fit = mixing.fit_rates(members_of(spark, posteriors, np.array([5, 5, 5])), (0.5, 0.3, 0.2))
+    assert fit.gap < mixing.TOLERANCE and not fit.reachable[2]
+    empty = mixing.fit_rates(members_of(spark, posteriors, np.zeros(3)), (0.5, 0.3, 0.2))
+    assert empty.steps == [] and empty.gap == 0
+
+
+def test_registered_targets_are_met(spark):
+    rows = queries.mixing_rates(spark, SF).collect()
+    shares = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in rows])
+    assert shares.sum(axis=1) == pytest.approx(1)
+    taken = np.array([r["rate"] * r["tokens"] for r in rows]) @ shares
+    tokens = sum(r["tokens"] for r in rows)
+    assert taken / tokens == pytest.approx(mixing.TARGETS, rel=1e-3)
+    assert {r["target_gap"] < mixing.TOLERANCE for r in rows} == {True}
 
 
 def test_mixing_of_odd_texts(spark):
