@@ -15,6 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
@@ -67,6 +69,53 @@ class GramModel:
         return score
 
 
+    def shares(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(words, probabilities of the classes) of many texts, read by ``words_of``. The
+        grams of each different word of the texts are looked up once, all at a time."""
+        names = list(self.weights)
+        base = np.array(self.intercepts)
+        matrix = np.array([self.weights[g] for g in names]).reshape(len(names), len(base))
+        split = pc.utf8_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        word = coded.indices.to_numpy()
+        lower = _lower(coded.dictionary)
+        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        real = pc.not_equal(lower, "").to_numpy(zero_copy_only=False)
+        counts = np.bincount(owner[real[word]], minlength=len(texts))
+        known = []
+        for kind, size in (("=", None), *(("^", n) for n in range(3, 7)), ("$", 2), ("$", 3)):
+            own = [i for i, g in enumerate(names) if g[0] == kind and size in (None, len(g) - 1)]
+            if own:
+                if kind == "=":
+                    part = lower
+                else:
+                    part = pc.utf8_slice_codeunits(lower, *((0, size) if kind == "^" else (-size, None)))
+                at = pc.index_in(part, value_set=pa.array([names[i][1:] for i in own], pa.string()))
+                found = at.fill_null(-1).to_numpy()
+                known.append(np.where(found >= 0, np.array(own)[found], -1))
+        margins = np.tile(base, (len(texts), 1))
+        if known:
+            places = np.stack(known, axis=1)
+            some = (places >= 0).any(axis=1)[word]
+            of_word = places[word[some]]
+            keys = (owner[some][:, None] * len(names) + of_word)[of_word >= 0]
+            text, gram = np.divmod(np.unique(keys), len(names))
+            for k in range(len(base)):
+                margins[:, k] += np.bincount(text, matrix[gram, k], minlength=len(texts))
+        shares = np.exp(margins - margins.max(axis=1, keepdims=True))
+        return counts, shares / shares.sum(axis=1, keepdims=True)
+
+
+def _lower(words: pa.Array) -> pa.Array:
+    """As ``str.lower``, which alone writes two letters for one and knows a word's end."""
+    lower = pc.utf8_lower(words).cast(pa.string())
+    odd = pc.match_substring_regex(words, "[\u0130\u03a3]")
+    if not pc.any(odd).as_py():
+        return lower
+    own = [w.lower() for w in words.filter(odd).to_pylist()]
+    return pc.replace_with_mask(lower, odd, pa.array(own, pa.string()))
+
+
 class _Places(dict):
     """A word's grams among the known ones, by their places, remembered."""
 

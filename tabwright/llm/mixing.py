@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +66,9 @@ def with_posteriors(docs: DataFrame, model: GramModel) -> DataFrame:
 
     @F.pandas_udf("tokens long, posterior array<double>")
     def posterior(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        score = model.scorer()
         for texts in batches:
-            words = [list(words_of(t)) if t else [] for t in texts]
-            yield pd.DataFrame(
-                {"tokens": [len(w) for w in words], "posterior": [score(w) for w in words]}
-            )
+            tokens, shares = model.shares(pa.array(texts, pa.large_string(), from_pandas=True))
+            yield pd.DataFrame({"tokens": tokens, "posterior": list(shares)})
 
     both = docs.withColumn("_mix", posterior("text"))
     return both.withColumns(
