@@ -13,6 +13,7 @@ like any other.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import saved
 from tabwright.sources.workspace import fresh_path
 
-RULES_VERSION = "1"
 #: Fixed values, in the order in which spans of one start are listed: kind, pattern,
 #: group to measure, least length of that group.
 BASE_RULES = (
@@ -57,6 +57,8 @@ RULES = tuple(
     (i, kind, re.compile(pattern, re.ASCII), group, least)
     for i, (kind, pattern, group, least) in enumerate((*BASE_RULES, *MORE_RULES))
 )
+#: Rules are told apart by what they are, so an edited rule is a new version.
+RULES_VERSION = hashlib.sha256(repr((BASE_RULES, MORE_RULES)).encode()).hexdigest()[:16]
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -87,8 +89,11 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 
 def addressed(docs: DataFrame) -> DataFrame:
     """The frame with ``blob``, the address of its text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("blob", F.unhex(F.sha2(text, 256)))
+    return docs.withColumn("blob", _address(F.col("text")))
+
+
+def _address(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame, version: str = RULES_VERSION) -> DataFrame:
@@ -112,10 +117,18 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame, version: str = RULES_VERSION
 
 def findings(docs: DataFrame, ledger: DataFrame, version: str = RULES_VERSION) -> DataFrame:
     """The frame with ``spans``: what the ledger says of each row's text. Only texts
-    with a finding are joined; the rest get an empty list."""
+    with a finding are joined; the rest get an empty list. A pair that overlapping runs
+    have put into the ledger twice counts once. A column ``spans`` of the frame gives way
+    to the findings; all others are carried as one struct and come back as they were."""
+    names = [c for c in docs.columns if c != "spans"]
     hits = ledger.where((F.col("version") == version) & (F.size("spans") > 0))
-    joined = addressed(docs).join(hits.select("blob", "spans"), "blob", "left").drop("blob")
-    return joined.withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    hits = hits.dropDuplicates(["blob"]).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    rows = docs.select(F.struct(*names).alias("_row"), _address(F.col("text")).alias("_blob"))
+    joined = rows.join(hits, "_blob", "left")
+    return joined.select(
+        *(F.col("_row")[c].alias(c) for c in names),
+        F.coalesce("_spans", F.array().cast(SPAN)).alias("spans"),
+    )
 
 
 def scan_corpus(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:

@@ -10,8 +10,10 @@ bounded size, so a leaf that holds a third of all vectors is many small tasks.
 
 Vectors that are null, empty, all zero, or hold a null or a number that isn't finite
 take no part, nor do those of another length than most of the sample. Rows without id
-take no part. Rows of equal id are rows of their own, and a query does not find rows of
-its id. Equal distances go to the smaller id. Other columns are not looked at.
+take no part. Queries of equal id and vector are one query, those of equal id and other
+vectors are queries of their own; a query does not find rows of its id. Of other rows of
+equal id it finds the nearest. Equal distances go to the smaller id. Other columns are
+not looked at. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ TARGET_RECALL = 0.97
 BLOCK = 2_048
 QUERY_BLOCK = 1_024
 SEED = 17
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, query_key long, vec_id long, score double"
 
 
 @dataclass
@@ -133,31 +135,38 @@ def _stack(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_list()).astype(np.float64)
 
 
-def _top(query_ids, queries, ids, vectors, count: int) -> pd.DataFrame:
-    """The ``count`` nearest of a block for each query, by exact distance then id. The
-    fast product picks those that rounding could make one of them."""
+def _top(query_ids, keys, queries, ids, vectors, count: int) -> pd.DataFrame:
+    """The ``count`` nearest ids of a block for each query, by exact distance then id. The
+    fast product picks those that rounding could make one of them; where ids repeat, all
+    are looked at and each counts once."""
     out = []
+    repeated = len(np.unique(ids)) < len(ids)
     rough_all = squared(queries, vectors)
     scale = 1e-9 * (1 + (vectors * vectors).sum(axis=1).max(initial=0.0))
-    for query_id, query, rough in zip(query_ids, queries, rough_all):
+    for query_id, key, query, rough in zip(query_ids, keys, queries, rough_all):
         rough = np.where(ids == query_id, np.inf, rough)
-        if len(rough) > count:
+        if len(rough) > count and not repeated:
             limit = np.partition(rough, count - 1)[count - 1]
             near = np.flatnonzero((rough <= limit + scale + 1e-9 * limit) & np.isfinite(rough))
         else:
             near = np.flatnonzero(np.isfinite(rough))
         distance = np.sqrt(exact(vectors[near], query[None]))
-        order = np.lexsort((ids[near], distance))[:count]
-        out.append(
-            pd.DataFrame({"query_id": query_id, "vec_id": ids[near[order]], "score": distance[order]})
-        )
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        order = np.lexsort((ids[near], distance))
+        if repeated:
+            first = np.unique(ids[near[order]], return_index=True)[1]
+            order = order[np.sort(first)]
+        order = order[:count]
+        found = {"query_id": query_id, "query_key": key}
+        out.append(pd.DataFrame(found | {"vec_id": ids[near[order]], "score": distance[order]}))
+    empty = {c.split()[0]: [] for c in FOUND.split(", ")}
+    return pd.concat(out) if out else pd.DataFrame(empty)
 
 
 def ranked(found: DataFrame, count: int) -> DataFrame:
     """The nearest of each query over all blocks, which gave ``count`` each at most."""
+    nearest = found.groupBy("query_id", "query_key", "vec_id").agg(F.min("score").alias("score"))
     one = F.struct("score", "vec_id")
-    best = found.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    best = nearest.groupBy("query_id", "query_key").agg(F.sort_array(F.collect_list(one)).alias("all"))
     top = best.select(
         "query_id", F.posexplode(F.slice("all", 1, count)).alias("place", "one")
     )
@@ -172,6 +181,7 @@ def ranked(found: DataFrame, count: int) -> DataFrame:
 def calibrated(vectors: DataFrame, tree: Tree, queries: pd.DataFrame, count: int) -> int:
     """Leaves to visit until the target share of the exact neighbours of ``queries``
     (bounded) is found. All rows are compared with them, a batch at a time."""
+    queries = queries.drop_duplicates("vec_id")
     if not len(queries):
         return 1
     ids, points = queries["vec_id"].to_numpy(), _stack(queries["vector"])
@@ -179,7 +189,8 @@ def calibrated(vectors: DataFrame, tree: Tree, queries: pd.DataFrame, count: int
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                top = _top(ids, points, batch["vec_id"].to_numpy(), _stack(batch["vector"]), count)
+                own = batch["vec_id"].to_numpy()
+                top = _top(ids, ids, points, own, _stack(batch["vector"]), count)
                 leaf = dict(zip(batch["vec_id"], batch["leaf"]))
                 yield top.assign(leaf=[leaf[v] for v in top["vec_id"]])
 
@@ -240,14 +251,16 @@ def search(
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for query_id, point in zip(batch["vec_id"], batch["vector"]):
+            for query_id, key, point in zip(batch["vec_id"], batch["key"], batch["vector"]):
                 bins = tree.best_bins(np.asarray(point, np.float64))
                 for _, leaf in zip(range(visits), bins):
-                    rows.append((query_id, point, leaf))
-            yield pd.DataFrame(rows, columns=["query_id", "point", "leaf"])
+                    rows.append((query_id, key, point, leaf))
+            yield pd.DataFrame(rows, columns=["query_id", "query_key", "point", "leaf"])
 
-    queries = placed.where(is_query).select("vec_id", "vector")
-    visiting = queries.mapInPandas(visit, "query_id long, point array<double>, leaf int")
+    queries = placed.where(is_query).select("vec_id", "vector").distinct()
+    queries = queries.withColumn("key", F.xxhash64("vec_id", "vector"))
+    asking = "query_id long, query_key long, point array<double>, leaf int"
+    visiting = queries.mapInPandas(visit, asking)
     visiting = saved(visiting, "visits")
     # A row per leaf of the tree, which is bounded by the sample: blocks on either side.
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).join(
@@ -268,15 +281,16 @@ def search(
         every("blocks").alias("b"),
         F.pmod(F.xxhash64(F.lit(2), "query_id"), "query_blocks").alias("q"),
         "query_id",
+        "query_key",
         "point",
     )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})
         ids, points = left["vec_id"].to_numpy(), _stack(left["vector"])
         parts = [
-            _top(q["query_id"], _stack(q["point"]), ids, points, count)
+            _top(q["query_id"], q["query_key"], _stack(q["point"]), ids, points, count)
             for q in (right.iloc[i : i + 256] for i in range(0, len(right), 256))
         ]
         return pd.concat(parts)

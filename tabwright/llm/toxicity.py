@@ -9,7 +9,8 @@ the channel, makes most likely. Only suspicious words are decoded; others are re
 they are. The work is linear in the text; nothing is cut off.
 
 Null and empty texts have no words and get the score of the intercept. Every input row
-gives one output row, repeated ids included. Other columns are not looked at.
+gives one output row, repeated ids included. Other columns are not looked at; one that is
+called as the score's column is replaced by it.
 """
 
 from __future__ import annotations
@@ -137,8 +138,8 @@ class Restorer:
         return found
 
     def words(self, text: str) -> Iterable[str]:
-        """The raw words with their signs, their restored forms, and the words of
-        spaced runs of letters."""
+        """The words without the signs around them, suspicious ones restored, and the
+        words of spaced runs of letters."""
         low = text.lower()
         raw = set(low.split())
         found = set(map(self.word, raw))
@@ -194,9 +195,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS):
 
 
 def score(
-    docs: DataFrame, characters: np.ndarray, model: GramModel, text: str = "text"
+    docs: DataFrame,
+    characters: np.ndarray,
+    model: GramModel,
+    text: str = "text",
+    name: str = "score",
 ) -> DataFrame:
-    """The frame with ``score``, the probability of label 1. The models are small and
+    """The frame with ``name``, the probability of label 1. The models are small and
     bounded by construction; they go to the tasks with the function."""
 
     @F.pandas_udf("double")
@@ -207,7 +212,7 @@ def score(
                 [float(probabilities(words(t) if t else ())[1]) for t in texts], dtype="float64"
             )
 
-    return docs.withColumn("score", toxicity(F.col(text)))
+    return docs.withColumn(name, toxicity(F.col(text)))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
