@@ -20,9 +20,11 @@ from tabwright.functions.layouts import (
     conform,
     names_of,
 )
-from tabwright.operators import report
+from tabwright.operators import moments, report
 from tabwright.operators import trials as ops
 from tabwright.operators.validate import validate
+from tabwright.sources.sinks import write_parquet
+from tabwright.sources.workspace import fresh_path
 
 MEASURES = ("Accuracy", "F1_Churn", "ROC_AUC")
 
@@ -36,6 +38,18 @@ def _summary(spark, sf) -> DataFrame:
     return ops.summarise(trials(spark, sf))
 
 
+def trial_summary_folded(spark, sf) -> DataFrame:
+    """The same summary, from states of single trials that arrive out of order and are
+    written in between."""
+    rows = trials(spark, sf)
+    state = moments.state_of(rows.filter("Trial = 3"))
+    for arrived in (1, 2):
+        state = moments.merged(state, moments.state_of(rows.filter(F.col("Trial") == arrived)))
+        path = write_parquet(state, fresh_path(spark, "state"))
+        state = spark.read.schema(state.schema).parquet(path)
+    return moments.summary_of(state)
+
+
 def trial_table(spark, sf) -> DataFrame:
     """Without its feature count, which comes back as a typed NULL. It is shown as a
     double, as frames of other engines hold NULLs among whole numbers differently."""
@@ -184,6 +198,7 @@ union all select 'no_nulls:Prediction_Time_Seconds', 'error', no_predict = 0,
                  on Trial in (1, 2, 3) using first(Training_Time_Seconds)) p""",
     ),
     "trial_summary": (_summary, "select * from summary"),
+    "trial_summary_folded": (trial_summary_folded, "select * from summary"),
     "ordered_trials": (
         ordered_trials,
         f"select {_KEY}, Training_Time_Seconds from trials",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -37,6 +37,24 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+#: Readers of the first generation cannot answer an aggregate from footers.
+_FOOTER_SETTINGS = {
+    "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
+def footer_answers(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """One row: ``rows``, and smallest and largest value of plain columns, answered from
+    the Parquet files' footers: no page of data is read. Without any rows in the files
+    all are NULL, the count too. The settings that this needs are those of a session of its own, next to the caller's on the same cluster."""
+    own = spark.newSession()
+    for name, value in _FOOTER_SETTINGS.items():
+        own.conf.set(name, value)
+    extremes = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
+    return own.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), *extremes)
+
+
 def write_parquet_verified(
     df: DataFrame,
     path: str,
@@ -48,15 +66,17 @@ def write_parquet_verified(
 
     Give ``rows`` where the count is known. Otherwise the plan behind ``df`` is run
     once more for a bare count, for which Spark drops the encoding; the width to
-    expect is in the schema and costs no job.
+    expect is in the schema and costs no job. The rows that were written are counted
+    from the files' footers; only the widths of the vectors are read.
     """
     expected_rows = df.count() if rows is None else rows
     width = declared_width(df, vector)
     write_parquet(df, path, partition_by=partition_by)
     back = df.sparkSession.read.parquet(path)
     types, types_back = dict(df.dtypes), dict(back.dtypes)
+    written = footer_answers(df.sparkSession, path).first()["rows"] or 0
     after = back.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.lit(written).cast("bigint").alias("n"),
         F.min(vector_size(vector)).alias("low"),
         F.max(vector_size(vector)).alias("high"),
     )

@@ -71,3 +71,19 @@ def test_texts_of_all_kinds_come_back_from_csv(spark, tmp_path):
     path = sinks.write_csv(df, str(tmp_path / "c"))
     assert sum(len(p.read_text().splitlines()) - 1 for p in (tmp_path / "c").glob("part*")) == len(texts)
     assert rows(tables.read_stored_csv(spark, path, "n int, t string")) == rows(df)
+
+
+def test_footers_answer_without_reading_data(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id", "id % 7 - 3.5 as x", "id % 2 as split").write.partitionBy(
+        "split"
+    ).parquet(path)
+    found = sinks.footer_answers(spark, path, "id")
+    assert tuple(found.first()) == (1000, 0, 999)
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(id), MAX(id)]" in plan
+    v1 = spark.conf.get("spark.sql.sources.useV1SourceList")
+    assert "parquet" in v1  # the caller's session is as it was
+    none = str(tmp_path / "none")
+    spark.range(0).write.parquet(none)
+    assert tuple(sinks.footer_answers(spark, none, "id").first()) == (None, None, None)
