@@ -9,8 +9,9 @@ are the shards: the counts differ by one at most (law ``rows``), and a row's pla
 its shard has no gaps.
 
 The number of buckets comes from the measured bytes, so a bucket's size doesn't grow
-with the table. Null ids have a hash like any other; null text has size 1. Rows of
-equal id share a bucket; equal rows can change places without a trace.
+with the table. Rows are scattered by the hash of all their columns, so many rows of one
+id or without one are spread; null text has size 1. Rows equal in all columns share a
+bucket and can change places without a trace.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ def write_shards(
     """Write the rows with ``_shard`` (a folder) and ``_slot``."""
     size = F.lit(1) if size is None else size
     df = df.drop(*PLACES)
-    bucket_of = F.xxhash64(F.lit(seed), F.col(key))
+    # All columns, so that rows without a key or of one key are scattered like others.
+    bucket_of = F.xxhash64(F.lit(seed), F.col(key), *df.columns)
     total, rows = df.agg(F.sum(size), F.count(F.lit(1))).first()
     buckets = max(1, -(-(total or 0) // bucket_bytes))
     bucket = F.pmod(bucket_of, F.lit(buckets)).alias("_bucket")
