@@ -5,8 +5,10 @@ reaches by going to the nearest centre at each node. A query goes through the tr
 best bin first: a priority queue of branches by their centre's distance gives leaves in
 the order in which they promise most. How many leaves are visited is calibrated: the
 number is widened until the exact neighbours of a bounded set of queries are found to
-the target share. The vectors of a leaf and the queries that visit it meet in blocks of
-bounded size, so a leaf that holds a third of all vectors is many small tasks.
+the target share. The visits come in two rounds: the first leaves of each query give a
+distance that its last neighbour cannot exceed, and the others give only rows within it.
+The vectors of a leaf and the queries that visit it meet in blocks of bounded size, so a
+leaf that holds a third of all vectors is many small tasks.
 
 Vectors that are null, empty, all zero, or hold a null or a number that isn't finite
 take no part, nor do those of another length than most of the sample. Rows without id
@@ -21,10 +23,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import saved
@@ -38,6 +41,10 @@ TARGET_RECALL = 0.97
 #: Vectors of a leaf, and queries, that meet in one task.
 BLOCK = 2_048
 QUERY_BLOCK = 1_024
+#: Leaves of the first round of visits.
+FIRST = 4
+#: Pairs of a query and a vector that are held at a time.
+PAIRS = 1 << 17
 SEED = 17
 FOUND = "query_id long, query_key long, vec_id long, score double"
 
@@ -104,7 +111,7 @@ def fit_tree(sample: np.ndarray) -> Tree:
         if len(rows) <= LEAF or len(distinct) == 1:
             leaves += 1
             return Node(leaf=leaves - 1)
-        k = min(BRANCHES, len(distinct))
+        k = min(BRANCHES, len(distinct), -(-len(rows) // LEAF))
         centres = distinct[rng.choice(len(distinct), k, replace=False)]
         for _ in range(12):
             nearest = squared(rows, centres).argmin(axis=1)
@@ -135,47 +142,49 @@ def _stack(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_list()).astype(np.float64)
 
 
-def _top(query_ids, keys, queries, ids, vectors, count: int) -> pd.DataFrame:
-    """The ``count`` nearest ids of a block for each query, by exact distance then id. The
-    fast product picks those that rounding could make one of them; where ids repeat, all
-    are looked at and each counts once."""
+def _nearest(found: pd.DataFrame, count: int) -> pd.DataFrame:
+    """The ``count`` nearest ids of each query, equal distances by id, each id once."""
+    found = found.sort_values(["query_id", "query_key", "score", "vec_id"], kind="stable")
+    found = found.drop_duplicates(["query_id", "query_key", "vec_id"])
+    return found.groupby(["query_id", "query_key"], sort=False).head(count)
+
+
+def _top(query_ids, keys, queries, bounds, ids, vectors, count: int) -> pd.DataFrame:
+    """The ``count`` nearest ids of a block for each query, by exact distance then id, as
+    far as they lie within the query's bound. The fast product picks the pairs that
+    rounding could make one of them; of ids that repeat, the nearest row counts."""
+    last = count - 1 + len(ids) - len(np.unique(ids))
     out = []
-    repeated = len(np.unique(ids)) < len(ids)
-    rough_all = squared(queries, vectors)
-    scale = 1e-9 * (1 + (vectors * vectors).sum(axis=1).max(initial=0.0))
-    for query_id, key, query, rough in zip(query_ids, keys, queries, rough_all):
-        rough = np.where(ids == query_id, np.inf, rough)
-        if len(rough) > count and not repeated:
-            limit = np.partition(rough, count - 1)[count - 1]
-            near = np.flatnonzero((rough <= limit + scale + 1e-9 * limit) & np.isfinite(rough))
-        else:
-            near = np.flatnonzero(np.isfinite(rough))
-        distance = np.sqrt(exact(vectors[near], query[None]))
-        order = np.lexsort((ids[near], distance))
-        if repeated:
-            first = np.unique(ids[near[order]], return_index=True)[1]
-            order = order[np.sort(first)]
-        order = order[:count]
-        found = {"query_id": query_id, "query_key": key}
-        out.append(pd.DataFrame(found | {"vec_id": ids[near[order]], "score": distance[order]}))
+    step = max(1, PAIRS // max(len(ids), 1))
+    for start in range(0, len(queries), step):
+        part = slice(start, start + step)
+        rough = squared(queries[part], vectors)
+        size = (vectors * vectors).sum(axis=1).max(initial=0.0)
+        size += (queries[part] * queries[part]).sum(axis=1).max(initial=0.0)
+        rough[ids[None, :] == query_ids[part, None]] = np.inf
+        limit = bounds[part] ** 2
+        if len(ids) > last:
+            limit = np.minimum(limit, np.partition(rough, last, axis=1)[:, last])
+        limit = limit + 1e-9 * (1 + size) + 1e-9 * limit
+        query, row = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+        query += start
+        score = np.sqrt(exact(vectors[row], queries[query]))
+        near = score <= bounds[query] * (1 + 1e-12)
+        query, row, score = query[near], row[near], score[near]
+        found = {"query_id": query_ids[query], "query_key": keys[query]}
+        out.append(_nearest(pd.DataFrame(found | {"vec_id": ids[row], "score": score}), count))
     empty = {c.split()[0]: [] for c in FOUND.split(", ")}
     return pd.concat(out) if out else pd.DataFrame(empty)
 
 
 def ranked(found: DataFrame, count: int) -> DataFrame:
-    """The nearest of each query over all blocks, which gave ``count`` each at most."""
-    nearest = found.groupBy("query_id", "query_key", "vec_id").agg(F.min("score").alias("score"))
-    one = F.struct("score", "vec_id")
-    best = nearest.groupBy("query_id", "query_key").agg(F.sort_array(F.collect_list(one)).alias("all"))
-    top = best.select(
-        "query_id", F.posexplode(F.slice("all", 1, count)).alias("place", "one")
-    )
-    return top.select(
-        "query_id",
-        (F.col("place") + 1).cast("int").alias("rank"),
-        F.col("one.vec_id").alias("vec_id"),
-        F.col("one.score").alias("score"),
-    )
+    """(query_id, query_key, rank, vec_id, score): the nearest of each query over all
+    blocks. Rows meet by query once, and are sorted, not collected."""
+    query = ["query_id", "query_key"]
+    met = found.repartition(*query).groupBy(*query, "vec_id").agg(F.min("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy(*query).orderBy("score", "vec_id"))
+    placed = met.withColumn("rank", place).where(F.col("rank") <= count)
+    return placed.select(*query, "rank", "vec_id", "score")
 
 
 def calibrated(vectors: DataFrame, tree: Tree, queries: pd.DataFrame, count: int) -> int:
@@ -187,19 +196,24 @@ def calibrated(vectors: DataFrame, tree: Tree, queries: pd.DataFrame, count: int
     ids, points = queries["vec_id"].to_numpy(), _stack(queries["vector"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        bounds = np.full(len(ids), np.inf)
         for batch in batches:
             if len(batch):
                 own = batch["vec_id"].to_numpy()
-                top = _top(ids, ids, points, own, _stack(batch["vector"]), count)
+                top = _top(ids, ids, points, bounds, own, _stack(batch["vector"]), count)
                 leaf = dict(zip(batch["vec_id"], batch["leaf"]))
-                yield top.assign(leaf=[leaf[v] for v in top["vec_id"]])
+                top = top.assign(leaf=[leaf[v] for v in top["vec_id"]])
+                held = top if held is None else _nearest(pd.concat([held, top]), count)
+        if held is not None:
+            yield held
 
     found = vectors.mapInPandas(scan, FOUND + ", leaf int")
-    one = F.struct("score", "vec_id", "leaf")
-    best = found.groupBy("query_id").agg(
-        F.slice(F.sort_array(F.collect_list(one)), 1, count)["leaf"].alias("leaves")
-    )
-    truth = {r["query_id"]: r["leaves"] for r in best.collect()}
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    best = found.withColumn("place", place).where(F.col("place") <= count)
+    truth: dict[int, list[int]] = {}
+    for r in best.select("query_id", "leaf").collect():
+        truth.setdefault(r["query_id"], []).append(r["leaf"])
     places = []
     for query_id, point in zip(ids, points):
         order = {leaf: i for i, leaf in enumerate(tree.best_bins(point))}
@@ -248,53 +262,77 @@ def search(
     )
     visits = calibrated(placed, tree, sample.head(CALIBRATION), count)
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for query_id, key, point in zip(batch["vec_id"], batch["key"], batch["vector"]):
-                bins = tree.best_bins(np.asarray(point, np.float64))
-                for _, leaf in zip(range(visits), bins):
-                    rows.append((query_id, key, point, leaf))
-            yield pd.DataFrame(rows, columns=["query_id", "query_key", "point", "leaf"])
-
-    queries = placed.where(is_query).select("vec_id", "vector").distinct()
-    queries = queries.withColumn("key", F.xxhash64("vec_id", "vector"))
-    asking = "query_id long, query_key long, point array<double>, leaf int"
-    visiting = queries.mapInPandas(visit, asking)
-    visiting = saved(visiting, "visits")
-    # A row per leaf of the tree, which is bounded by the sample: blocks on either side.
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).join(
-        visiting.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("query_blocks")),
-        "leaf",
-    )
-    sizes = F.broadcast(saved(sizes, "leaf_sizes"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rows = placed.join(sizes, "leaf").select(
-        "leaf",
-        F.pmod(F.xxhash64(F.lit(1), "vec_id"), "blocks").alias("b"),
-        every("query_blocks").alias("q"),
-        "vec_id",
-        "vector",
-    )
-    asked = visiting.join(sizes, "leaf").select(
-        "leaf",
-        every("blocks").alias("b"),
-        F.pmod(F.xxhash64(F.lit(2), "query_id"), "query_blocks").alias("q"),
-        "query_id",
-        "query_key",
-        "point",
-    )
+    def visit(first: int, end: int):
+        """Queries to the leaves that they visit, from one place of their order to another."""
+
+        def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = ["query_id", "query_key", "point", "bound"]
+            for batch in batches:
+                orders = [
+                    list(islice(tree.best_bins(np.asarray(p, np.float64)), first, end))
+                    for p in batch["point"]
+                ]
+                yield batch[names].assign(leaf=orders).explode("leaf").dropna(subset="leaf")
+
+        return leaves
+
+    asking = "query_id long, query_key long, point array<double>, bound double, leaf int"
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})
-        ids, points = left["vec_id"].to_numpy(), _stack(left["vector"])
-        parts = [
-            _top(q["query_id"], q["query_key"], _stack(q["point"]), ids, points, count)
-            for q in (right.iloc[i : i + 256] for i in range(0, len(right), 256))
-        ]
-        return pd.concat(parts)
-
-    keys = ["leaf", "b", "q"]
-    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(meet, FOUND)
-    return ranked(found, count)
+        query = [right[c].to_numpy() for c in ("query_id", "query_key")]
+        points, bounds = _stack(right["point"]), right["bound"].to_numpy(np.float64)
+        ids, vectors = left["vec_id"].to_numpy(), _stack(left["vector"])
+        return _top(*query, points, bounds, ids, vectors, count)
+
+    def visited(asked: DataFrame, first: int, end: int, name: str) -> DataFrame:
+        """What the rows of the leaves at these places of each query's order give."""
+        visiting = saved(asked.mapInPandas(visit(first, end), asking), f"{name}_visits")
+        # A row per leaf of the tree, which is bounded by the sample: blocks on either side.
+        blocks = F.ceil(F.count(F.lit(1)) / block).alias("blocks")
+        query_blocks = F.ceil(F.count(F.lit(1)) / query_block).alias("query_blocks")
+        sizes = placed.groupBy("leaf").agg(blocks).join(
+            visiting.groupBy("leaf").agg(query_blocks), "leaf"
+        )
+        sizes = F.broadcast(saved(sizes, f"{name}_leaf_sizes"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        rows = placed.join(sizes, "leaf").select(
+            "leaf",
+            F.pmod(F.xxhash64(F.lit(1), "vec_id"), "blocks").alias("b"),
+            every("query_blocks").alias("q"),
+            "vec_id",
+            "vector",
+        )
+        visits_of_blocks = visiting.join(sizes, "leaf").select(
+            "leaf",
+            every("blocks").alias("b"),
+            F.pmod(F.xxhash64(F.lit(2), "query_id"), "query_blocks").alias("q"),
+            "query_id",
+            "query_key",
+            "point",
+            "bound",
+        )
+        keys = ["leaf", "b", "q"]
+        pairs = rows.groupBy(*keys).cogroup(visits_of_blocks.groupBy(*keys))
+        return pairs.applyInPandas(meet, FOUND)
+
+    queries = placed.where(is_query).select("vec_id", "vector").distinct().select(
+        F.col("vec_id").alias("query_id"),
+        F.xxhash64("vec_id", "vector").alias("query_key"),
+        F.col("vector").alias("point"),
+    )
+    unbounded = queries.withColumn("bound", F.lit(float("inf")))
+    first = saved(ranked(visited(unbounded, 0, min(FIRST, visits), "first"), count), "first")
+    result = ["query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"]
+    if visits <= FIRST:
+        return first.select(*result)
+    last = first.where(F.col("rank") == count).select(
+        "query_id", "query_key", F.col("score").alias("found")
+    )
+    bounded = queries.join(last, ["query_id", "query_key"], "left").select(
+        "*", F.coalesce("found", F.lit(float("inf"))).alias("bound")
+    )
+    more = visited(bounded, FIRST, visits, "more")
+    together = first.select(*more.columns).unionByName(more)
+    return ranked(together, count).select(*result)
