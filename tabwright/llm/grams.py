@@ -31,6 +31,8 @@ MIN_SUPPORT = 8
 MIN_G2 = 30.0
 #: Words that a task remembers before it starts afresh: 40 MB or so.
 MEMO = 200_000
+#: Bytes of text that are looked up at a time: some 50 MB of arrays.
+BLOCK_BYTES = 1 << 21
 
 Reader = Callable[[str], Iterable[str]]
 
@@ -68,44 +70,57 @@ class GramModel:
 
         return score
 
-
     def shares(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(words, probabilities of the classes) of many texts, read by ``words_of``. The
-        grams of each different word of the texts are looked up once, all at a time."""
+        """(words, probabilities of the classes) of many texts, read by ``words_of``, so
+        many at a time as have ``BLOCK_BYTES`` (a longer text ends the block it is in)."""
         names = list(self.weights)
         base = np.array(self.intercepts)
         matrix = np.array([self.weights[g] for g in names]).reshape(len(names), len(base))
-        split = pc.utf8_split_whitespace(texts.fill_null(""))
-        coded = split.flatten().dictionary_encode()
-        word = coded.indices.to_numpy()
-        lower = _lower(coded.dictionary)
-        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-        real = pc.not_equal(lower, "").to_numpy(zero_copy_only=False)
-        counts = np.bincount(owner[real[word]], minlength=len(texts))
-        known = []
+        lookups = []
         for kind, size in (("=", None), *(("^", n) for n in range(3, 7)), ("$", 2), ("$", 3)):
             own = [i for i, g in enumerate(names) if g[0] == kind and size in (None, len(g) - 1)]
             if own:
-                if kind == "=":
-                    part = lower
-                else:
-                    part = pc.utf8_slice_codeunits(lower, *((0, size) if kind == "^" else (-size, None)))
-                at = pc.index_in(part, value_set=pa.array([names[i][1:] for i in own], pa.string()))
-                found = at.fill_null(-1).to_numpy()
-                known.append(np.where(found >= 0, np.array(own)[found], -1))
-        margins = np.tile(base, (len(texts), 1))
-        if known:
-            places = np.stack(known, axis=1)
-            some = (places >= 0).any(axis=1)[word]
-            of_word = places[word[some]]
-            keys = (owner[some][:, None] * len(names) + of_word)[of_word >= 0]
-            text, gram = np.divmod(np.unique(keys), len(names))
+                known = pa.array([names[i][1:] for i in own], pa.string())
+                ends = {"=": None, "^": (0, size), "$": (-(size or 0), None)}[kind]
+                lookups.append((ends, known, np.array(own)))
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK_BYTES, prepend=-1))
+        counts, margins = np.zeros(len(texts), np.int64), np.tile(base, (len(texts), 1))
+        for start, end in zip(starts, [*starts[1:], len(texts)]):
+            n, text, gram = _found(texts[start:end], lookups, len(names))
+            counts[start:end] = n
             for k in range(len(base)):
-                margins[:, k] += np.bincount(text, matrix[gram, k], minlength=len(texts))
+                margins[start:end, k] += np.bincount(text, matrix[gram, k], minlength=end - start)
         shares = np.exp(margins - margins.max(axis=1, keepdims=True))
         return counts, shares / shares.sum(axis=1, keepdims=True)
 
 
+def _found(texts: pa.Array, lookups: list, grams: int) -> tuple[np.ndarray, ...]:
+    """The number of words of each text, and the (text, gram) pairs, each once. The grams
+    of each different word of the texts are looked up once."""
+    split = pc.utf8_split_whitespace(texts.fill_null(""))
+    coded = split.flatten().dictionary_encode()
+    word = coded.indices.to_numpy()
+    lower = _lower(coded.dictionary)
+    offsets = split.offsets.to_numpy()
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    real = pc.not_equal(lower, "").to_numpy(zero_copy_only=False)
+    counts = np.bincount(owner[real[word]], minlength=len(texts))
+    places = []
+    for ends, known, own in lookups:
+        part = lower if ends is None else pc.utf8_slice_codeunits(lower, *ends)
+        at = pc.index_in(part, value_set=known).fill_null(-1).to_numpy()
+        places.append(np.where(at >= 0, own[at], -1))
+    if not places:
+        return counts, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    places = np.stack(places, axis=1)
+    some = (places >= 0).any(axis=1)[word]
+    owner, word = np.divmod(np.unique(owner[some] * len(lower) + word[some]), max(len(lower), 1))
+    of_word = places[word]
+    keys = np.unique((owner[:, None] * grams + of_word)[of_word >= 0])
+    return counts, *np.divmod(keys, grams)
+
+
 def _lower(words: pa.Array) -> pa.Array:
     """As ``str.lower``, which alone writes two letters for one and knows a word's end."""
     lower = pc.utf8_lower(words).cast(pa.string())

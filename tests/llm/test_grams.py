@@ -22,3 +22,15 @@ def test_many_texts_at_a_time_as_one_by_one():
             own = list(grams.words_of(text)) if text else []
             assert count == len(own)
             assert np.abs(share - score(own)).max() < 1e-9
+
+
+def test_blocks_of_texts_and_one_longer_than_a_block(monkeypatch):
+    model = grams.GramModel({"=ab": (0.0, 1.0), "^fuz": (1.0, 0.0), "$zz": (0.5, 0.25)}, (0.0, 0.1))
+    texts = ["ab fuzz", None, "", "x " * 400 + "fuzzy Ab", "fuzz ab ab", " ", "ab", "y" * 300] * 5
+    whole = model.shares(pa.array(texts, pa.large_string()))
+    for block in (1, 7, 64, 500):
+        monkeypatch.setattr(grams, "BLOCK_BYTES", block)
+        counts, shares = model.shares(pa.array(texts, pa.large_string()))
+        assert counts.tolist() == whole[0].tolist() == [len((t or "").split()) for t in texts]
+        assert np.allclose(shares, whole[1], rtol=1e-14)
+    assert [x.tolist() for x in model.shares(pa.array([], pa.large_string()))] == [[], []]
