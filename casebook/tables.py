@@ -14,7 +14,7 @@ from casebook.fixtures import (
     table,
 )
 from tabwright.functions.layouts import retype
-from tabwright.operators import clean, profile, sampling, selection, validate
+from tabwright.operators import clean, gates, profile, sampling, selection, validate
 from tabwright.operators.features import category_index
 from tabwright.sources import sinks, tables
 from tabwright.sources.workspace import fresh_path
@@ -166,22 +166,37 @@ def display_names(spark, sf) -> DataFrame:
     return shown.groupBy("status", "shown").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def report_rules() -> list:
+    return [
+        validate.columns_present("account_id", "churn", "no_such_column"),
+        validate.not_empty(),
+        validate.no_nulls("churn"),
+        validate.no_nulls("total_charges"),
+        validate.domain("churn", ("Yes", "No"), complete=True),
+        validate.domain("churn", ("Yes", "No", "Maybe"), complete=True),
+        validate.domain("status", ("F", "O")),
+        validate.row_count_is(7043, severity="warn"),
+        validate.none_where("balance_below_zero", F.col("balance") < 0, "warn"),
+    ]
+
+
 def validate_report(spark, sf) -> DataFrame:
+    return validate.validate(clean.to_typed(accounts_raw(spark, sf), ACCOUNTS), report_rules())
+
+
+def gates_after_append(spark, sf) -> DataFrame:
+    """The report on a table that grew, where only the appended files were read for it.
+    Either part alone would fail the rule on both labels."""
     typed = clean.to_typed(accounts_raw(spark, sf), ACCOUNTS)
-    return validate.validate(
-        typed,
-        [
-            validate.columns_present("account_id", "churn", "no_such_column"),
-            validate.not_empty(),
-            validate.no_nulls("churn"),
-            validate.no_nulls("total_charges"),
-            validate.domain("churn", ("Yes", "No"), complete=True),
-            validate.domain("churn", ("Yes", "No", "Maybe"), complete=True),
-            validate.domain("status", ("F", "O")),
-            validate.row_count_is(7043, severity="warn"),
-            validate.none_where("balance_below_zero", F.col("balance") < 0, "warn"),
-        ],
-    )
+    path, state = fresh_path(spark, "grown"), fresh_path(spark, "gates")
+    stays = F.col("churn").eqNullSafe("No")
+    sinks.write_parquet(typed.where(stays), path)
+    first = gates.gate_table(spark, path, state, report_rules())
+    sinks.write_parquet(typed.where(~stays), path, "append")
+    grown = gates.gate_table(spark, path, state, report_rules())
+    apart = set(first.scanned).isdisjoint(grown.scanned)
+    only_new = apart and 0 < len(grown.scanned) == grown.files - first.files
+    return grown.report.withColumn("only_new_read", F.lit(only_new))
 
 
 def hash_split(spark, sf) -> DataFrame:
@@ -263,6 +278,30 @@ _CATEGORY_SQL = " union all ".join(
     for c in ACCOUNTS.categorical
 )
 
+REPORT_SQL = """
+with t as (select count(*) n, count(*) filter (where churn is null) no_churn,
+                  count(*) filter (where total_charges is null) no_charges,
+                  count(*) filter (where churn not in ('Yes','No')) odd,
+                  count(*) filter (where status not in ('F','O')) other_status,
+                  count(*) filter (where balance < 0) below,
+                  2 - count(distinct churn) as absent,
+                  2 - count(distinct case when status in ('F','O') then status end) as absent_status
+           from accounts_typed)
+select 'columns_present' as rule, 'error' as severity, false as ok,
+       'no_such_column' as observed, '' as expected
+union all select 'not_empty', 'error', n > 0, cast(n as varchar), '>0' from t
+union all select 'no_nulls:churn', 'error', no_churn = 0, cast(no_churn as varchar), '0' from t
+union all select 'no_nulls:total_charges', 'error', no_charges = 0,
+                 cast(no_charges as varchar), '0' from t
+union all select 'domain:churn', 'error', odd = 0 and absent = 0,
+                 'outside=' || odd || ' absent=' || absent, 'equal Yes,No' from t
+union all select 'domain:churn', 'error', false,
+                 'outside=' || odd || ' absent=' || (absent + 1), 'equal Yes,No,Maybe' from t
+union all select 'domain:status', 'error', other_status = 0,
+                 'outside=' || other_status || ' absent=' || absent_status, 'subset F,O' from t
+union all select 'row_count', 'warn', n = 7043, cast(n as varchar), '7043' from t
+union all select 'balance_below_zero', 'warn', below = 0, cast(below as varchar), '0' from t"""
+
 CASES = {
     "csv_infer_scan": (
         csv_infer_scan,
@@ -375,31 +414,10 @@ CASES = {
                                       else status end as shown, count(*) as rows
            from accounts_clean group by status""",
     ),
-    "validate_report": (
-        validate_report,
-        """
-with t as (select count(*) n, count(*) filter (where churn is null) no_churn,
-                  count(*) filter (where total_charges is null) no_charges,
-                  count(*) filter (where churn not in ('Yes','No')) odd,
-                  count(*) filter (where status not in ('F','O')) other_status,
-                  count(*) filter (where balance < 0) below,
-                  2 - count(distinct churn) as absent,
-                  2 - count(distinct case when status in ('F','O') then status end) as absent_status
-           from accounts_typed)
-select 'columns_present' as rule, 'error' as severity, false as ok,
-       'no_such_column' as observed, '' as expected
-union all select 'not_empty', 'error', n > 0, cast(n as varchar), '>0' from t
-union all select 'no_nulls:churn', 'error', no_churn = 0, cast(no_churn as varchar), '0' from t
-union all select 'no_nulls:total_charges', 'error', no_charges = 0,
-                 cast(no_charges as varchar), '0' from t
-union all select 'domain:churn', 'error', odd = 0 and absent = 0,
-                 'outside=' || odd || ' absent=' || absent, 'equal Yes,No' from t
-union all select 'domain:churn', 'error', false,
-                 'outside=' || odd || ' absent=' || (absent + 1), 'equal Yes,No,Maybe' from t
-union all select 'domain:status', 'error', other_status = 0,
-                 'outside=' || other_status || ' absent=' || absent_status, 'subset F,O' from t
-union all select 'row_count', 'warn', n = 7043, cast(n as varchar), '7043' from t
-union all select 'balance_below_zero', 'warn', below = 0, cast(below as varchar), '0' from t""",
+    "validate_report": (validate_report, REPORT_SQL),
+    "gates_after_append": (
+        gates_after_append,
+        f"select r.*, true as only_new_read from ({REPORT_SQL}) r",
     ),
     "hash_split": (hash_split, "select account_id, split from accounts_split"),
     "exact_split": (

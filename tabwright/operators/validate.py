@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +22,8 @@ Results = Mapping[str, Column]
 @dataclass(frozen=True)
 class Rule:
     """``measures`` are aggregates over the table; ``ok`` and ``observed`` are built
-    from their results. A rule on absent columns fails without being evaluated."""
+    from their results. A rule on absent columns fails without being evaluated. Measures
+    of parts of a table add up, but for those whose function is in ``merge``."""
 
     name: str
     expected: str
@@ -31,6 +32,7 @@ class Rule:
     observed: Callable[[Results], Column]
     columns: tuple[str, ...] = ()
     severity: str = "error"
+    merge: Mapping[str, Callable[[Column], Column]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -99,20 +101,17 @@ def domain(column: str, allowed: Sequence, complete: bool = False) -> Rule:
     are kept per allowed value, so a column of many values stays cheap. NULLs are
     left to ``no_nulls``."""
     value = F.col(column)
-    unseen = [
-        F.when(F.count_if(value == v) == 0, 1).otherwise(0).cast("bigint") for v in allowed
-    ]
+    seen = {f"seen{i}": F.count_if(value == v) for i, v in enumerate(allowed)}
+
+    def absent(r: Results) -> Column:
+        return reduce(Column.__add__, [(r[s] == 0).cast("bigint") for s in seen])
+
     return Rule(
         name=f"domain:{column}",
         expected=("equal " if complete else "subset ") + ",".join(map(str, allowed)),
-        measures={
-            "outside": F.count_if(~value.isin(*allowed)),
-            "absent": reduce(Column.__add__, unseen),
-        },
-        ok=lambda r: (r["outside"] + r["absent"] if complete else r["outside"]) == 0,
-        observed=lambda r: F.concat(
-            F.lit("outside="), r["outside"], F.lit(" absent="), r["absent"]
-        ),
+        measures={"outside": F.count_if(~value.isin(*allowed)), **seen},
+        ok=lambda r: (r["outside"] + absent(r) if complete else r["outside"]) == 0,
+        observed=lambda r: F.concat(F.lit("outside="), r["outside"], F.lit(" absent="), absent(r)),
         columns=(column,),
     )
 
@@ -128,35 +127,77 @@ def width_is(vector: str, expected: int, severity: str = "error") -> Rule:
         observed=lambda r: F.concat_ws("-", r["low"], r["high"]),
         columns=(vector,),
         severity=severity,
+        merge={"low": F.min, "high": F.max},
     )
 
 
-def validate(df: DataFrame, rules: Sequence[Rule | ColumnsPresent]) -> DataFrame:
-    """One row (rule, severity, ok, observed, expected) per rule, from one pass."""
-    present = set(df.columns)
-    measures: dict[str, Column] = {"rows": F.count(F.lit(1))}
+def _measured(
+    rules: Sequence[Rule | ColumnsPresent], columns: Iterable[str]
+) -> list[tuple[Rule, dict[str, str]]]:
+    """The rules that data is read for, and the names of their measures in one aggregate."""
+    present = set(columns)
+    return [
+        (rule, {m: f"{place}_{m}" for m in rule.measures})
+        for place, rule in enumerate(rules)
+        if isinstance(rule, Rule) and set(rule.columns) <= present
+    ]
+
+
+def measures(rules: Sequence[Rule | ColumnsPresent], columns: Iterable[str]) -> dict[str, Column]:
+    """Every measure of the rules over a table of these columns, by name."""
+    named = {"rows": F.count(F.lit(1))}
+    for rule, names in _measured(rules, columns):
+        named |= {names[m]: c for m, c in rule.measures.items()}
+    return named
+
+
+def merges(
+    rules: Sequence[Rule | ColumnsPresent], columns: Iterable[str]
+) -> dict[str, Callable[[Column], Column]]:
+    """How each measure of a whole comes from those of its parts. Without parts a count
+    is zero, an extreme NULL, as over no rows."""
+
+    def total(part: Column) -> Column:
+        return F.coalesce(F.sum(part), F.lit(0))
+
+    named = {"rows": total}
+    for rule, names in _measured(rules, columns):
+        named |= {names[m]: rule.merge.get(m, total) for m in rule.measures}
+    return named
+
+
+def report(
+    totals: DataFrame, rules: Sequence[Rule | ColumnsPresent], columns: Iterable[str]
+) -> DataFrame:
+    """One row (rule, severity, ok, observed, expected) per rule, from the one row of
+    their measures."""
+    present = set(columns)
+    known = {id(rule): names for rule, names in _measured(rules, present)}
     entries = []
-    for place, rule in enumerate(rules):
+    for rule in rules:
         if isinstance(rule, ColumnsPresent):
             missing = [c for c in rule.columns if c not in present]
             entries.append(
                 _entry(rule, F.lit(not missing), F.lit(",".join(missing)), "")
             )
-        elif not set(rule.columns) <= present:
+        elif id(rule) not in known:
             entries.append(
                 _entry(rule, F.lit(False), F.lit("missing column"), rule.expected)
             )
         else:
-            names = {m: f"{place}_{m}" for m in rule.measures}
-            measures.update({names[m]: c for m, c in rule.measures.items()})
-            results = {m: F.col(n) for m, n in names.items()}
+            results = {m: F.col(n) for m, n in known[id(rule)].items()}
             entries.append(
                 _entry(rule, rule.ok(results), rule.observed(results), rule.expected)
             )
-    totals = df.agg(*[m.alias(name) for name, m in measures.items()])
     return totals.select(F.inline(F.array(*entries)))
 
 
+def validate(df: DataFrame, rules: Sequence[Rule | ColumnsPresent]) -> DataFrame:
+    """One row (rule, severity, ok, observed, expected) per rule, from one pass."""
+    totals = df.agg(*[m.alias(name) for name, m in measures(rules, df.columns).items()])
+    return report(totals, rules, df.columns)
+
+
 def _entry(rule, ok: Column, observed: Column, expected: str) -> Column:
     return F.struct(
         F.lit(rule.name).alias("rule"),
