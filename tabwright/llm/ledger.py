@@ -151,12 +151,15 @@ def _joined(spans: Column) -> Column:
     return F.array_join(one, ",")
 
 
+def _count(kind: int) -> Column:
+    """The spans of one kind. A second parameter of the function, even one with a value
+    of its own, would be given the place in the array."""
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def digest_rows(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < len(BASE_RULES))
-    counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}")
-        for i, kind in enumerate(BASE_KINDS)
-    ]
+    counts = [_count(i).alias(f"n_{kind}") for i, kind in enumerate(BASE_KINDS)]
     return found.select(
         "doc_id",
         *counts,
