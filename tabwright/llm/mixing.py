@@ -10,9 +10,11 @@ expression over a document's own columns and an aggregation of the totals; no st
 documents. The gradient is scaled by the second moments of the documents that are free
 to move (in the two-metric form, where those at their bound that it would push beyond it
 stay), which meets targets that can be met in a few steps. Where such a step does not
-help, as no rates meet the targets, plain accelerated steps go on to the optimum. After
-a step its few numbers per document are written and read back: expressions of several
-steps on top of each other grow faster than the steps.
+help, as no rates meet the targets, accelerated steps go on to the optimum, each document
+by a length of its own: the posteriors bound the curvature by a diagonal, so a pure
+document of a small domain does not hold back those of a large one. After a scaled step,
+and after every ``REPLAYED`` of the others, its few numbers per document are written and
+read back; the steps since then are worked out again, so a step is one aggregation.
 
 The fit ends when all totals are at their targets, or when no step can bring them
 nearer: the projected gradient is zero. The miss that is left is a column of the result,
@@ -43,8 +45,11 @@ DOMAINS = ("clean", "junk", "toxic")
 #: Shares of the tokens that are to come from each domain.
 TARGETS = (0.96, 0.035, 0.005)
 #: The fit ends if each total is this near its target (as a share of it), or if a step
-#: changes the rates by no more than this (root of the mean square over tokens).
+#: along the gradient, of one length for all documents, would change the rates by no more
+#: than this (root of the mean square over tokens).
 TOLERANCE, STILL = 1e-4, 1e-6
+#: So many accelerated steps are worked out again before their state is written.
+REPLAYED = 16
 SEED = 11
 
 
@@ -79,10 +84,12 @@ def with_posteriors(docs: DataFrame, model: GramModel) -> DataFrame:
 @dataclass(frozen=True)
 class Step:
     """What a document's posteriors are multiplied by to get its move; the gradient that
-    says which documents are free, in scaled steps; the momentum of the plain ones."""
+    says which documents are free, in scaled steps; what the posteriors are multiplied by
+    to get the number that divides the move, and the momentum, in the other ones."""
 
     move: np.ndarray
     gradient: np.ndarray | None = None
+    bounds: np.ndarray | None = None
     momentum: float = 0.0
 
 
@@ -103,19 +110,30 @@ class Fit:
         return float((miss / self.wanted[self.reachable]).max(initial=0.0))
 
 
-def rates(posteriors: np.ndarray, floors: np.ndarray, steps: Sequence[Step]) -> np.ndarray:
-    """Rates after the steps. Plain ones start ``ahead`` of the rate, moved on by the
-    momentum of the one before."""
-    rate = ahead = np.ones(len(posteriors))
+def _after(posteriors, floors, ahead, move: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Rates after a step of each document's own length."""
+    curvature = posteriors @ bounds
+    return np.maximum(floors, ahead - posteriors @ move / np.where(curvature > 0, curvature, 1.0))
+
+
+def _moved(posteriors, floors, rate, ahead, steps: Sequence[Step]) -> tuple[np.ndarray, ...]:
+    """(rate, ahead) after the steps. Accelerated ones start ``ahead`` of the rate, moved
+    on by the momentum of the one before."""
     for step in steps:
         if step.gradient is not None:
             free = (rate > floors) | (posteriors @ step.gradient < 0)
             rate = np.where(free, np.maximum(floors, rate - posteriors @ step.move), rate)
             ahead = rate
         else:
-            after = np.maximum(floors, ahead - posteriors @ step.move)
+            after = _after(posteriors, floors, ahead, step.move, step.bounds)
             ahead, rate = after + step.momentum * (after - rate), after
-    return rate
+    return rate, ahead
+
+
+def rates(posteriors: np.ndarray, floors: np.ndarray, steps: Sequence[Step]) -> np.ndarray:
+    """Rates after the steps, from one each."""
+    ones = np.ones(len(posteriors))
+    return _moved(posteriors, floors, ones, ones, steps)[0]
 
 
 def _matrix(posteriors: pd.Series) -> np.ndarray:
@@ -165,25 +183,41 @@ def fit_rates(
     def along(vector: np.ndarray) -> Column:
         return sum((F.lit(float(v)) * F.col(p) for v, p in zip(vector, names)), F.lit(0.0))
 
-    def measured(frame: DataFrame) -> tuple[np.ndarray, float]:
-        """Totals after the step, and the mean square change from where it began."""
-        change = (F.col("after") - F.col("ahead")) * (F.col("after") - F.col("ahead"))
+    def measured(frame: DataFrame, *more: Column) -> np.ndarray:
+        """Totals after the step, and further sums over the tokens."""
         sums = [F.sum(F.col("tokens") * F.col(p) * F.col("after")) for p in names]
-        row = frame.agg(F.sum(F.col("tokens") * change), *sums).first()
-        return np.array(row[1:], float) / total, row[0] / total
+        row = frame.agg(*sums, *(F.sum(F.col("tokens") * c) for c in more)).first()
+        return np.array(row, float) / total
 
     def missed(totals: np.ndarray) -> float:
         return float((((totals - want) * scale) ** 2).sum())
 
     fit = Fit([], now * total, want * total, reachable)
 
-    def taken(frame: DataFrame, step: Step, totals: np.ndarray) -> DataFrame:
-        """The state after the step, as a table."""
+    def taken(step: Step, totals: np.ndarray) -> None:
         fit.steps.append(step)
         fit.totals = totals * total
-        ahead = F.col("after") + F.lit(step.momentum) * (F.col("after") - F.col("rate"))
-        rate = F.col("after").alias("rate")
-        return saved(frame.select("tokens", *names, "floor", rate, ahead.alias("ahead")), "rates")
+
+    def written(frame: DataFrame, rate: str, ahead: str) -> DataFrame:
+        """The state as a table."""
+        both = F.col(rate).alias("rate"), F.col(ahead).alias("ahead")
+        return saved(frame.select("tokens", *names, "floor", *both), "rates")
+
+    def replayed(steps: Sequence[Step], move: np.ndarray, bounds: np.ndarray) -> DataFrame:
+        """The state after ``steps`` (rate, ahead), the rate after one more, and what a step
+        of one length for all would change."""
+
+        @F.pandas_udf("rate double, ahead double, after double, change double")
+        def each(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+            for *columns, floors, rate, ahead in batches:
+                p, floors = np.stack([np.asarray(c, float) for c in columns], axis=1), floors.to_numpy()
+                rate, ahead = _moved(p, floors, rate.to_numpy(), ahead.to_numpy(), steps)
+                after = _after(p, floors, ahead, move, bounds)
+                change = np.maximum(floors, ahead - p @ (move / steepest)) - ahead
+                yield pd.DataFrame({"rate": rate, "ahead": ahead, "after": after, "change": change})
+
+        now_at = each(*names, "floor", "rate", "ahead").alias("s")
+        return state.select("tokens", *names, "floor", now_at).select("tokens", *names, "floor", "s.*")
 
     helps = True
     while helps and fit.gap >= TOLERANCE:
@@ -195,25 +229,31 @@ def fit_rates(
         for length in (1.0, 0.25, 0.0625):
             moved = F.greatest("floor", F.col("rate") - along(length * move))
             frame = state.withColumn("after", F.when(free, moved).otherwise(F.col("rate")))
-            totals, _ = measured(frame)
+            totals = measured(frame)
             helps = missed(totals) < (1 - 0.1 * length) * missed(now)
             if helps:
-                state, now = taken(frame, Step(length * move, gradient), totals), totals
+                taken(Step(length * move, gradient), totals)
+                state, now = written(frame, "after", "after"), totals
                 break
     steepest = float(np.linalg.eigvalsh(gram * np.outer(scale, scale))[-1])
-    pace, ahead_now, still = 1.0, now, False
+    bounds = scale**2 * gram.sum(axis=1)  # no entry is negative: row sums bound the curvature
+    pace, ahead_now, still, since = 1.0, now, False, []
     while fit.gap >= TOLERANCE and not still:
-        step = scale**2 * (ahead_now - want) / steepest
-        frame = state.withColumn("after", F.greatest("floor", F.col("ahead") - along(step)))
-        totals, change = measured(frame)
+        move = scale**2 * (ahead_now - want)
+        if len(since) == REPLAYED:
+            state, since = written(replayed(since, move, bounds), "rate", "ahead"), []
+        frame = replayed(since, move, bounds)
+        *totals, change = measured(frame, F.col("change") * F.col("change"))
+        totals = np.array(totals)
         if missed(totals) > missed(now):  # the momentum led astray: start it afresh
             pace, momentum = 1.0, 0.0
         else:
             following = (1 + (1 + 4 * pace**2) ** 0.5) / 2
             pace, momentum = following, (pace - 1) / following
         ahead_now = totals + momentum * (totals - now)  # totals are linear in the rates
-        state, now = taken(frame, Step(step, momentum=momentum), totals), totals
-        still = change**0.5 < STILL
+        since.append(Step(move, bounds=bounds, momentum=momentum))
+        taken(since[-1], totals)
+        now, still = totals, change**0.5 < STILL
     return fit
 
 
