@@ -26,7 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies exactly one row, of the smallest id."""
+    """Of each group of near copies exactly one row, of the smallest id. Copies are linked
+    by their SimHash fingerprints under covering masks, each link checked on the texts'
+    shingles, and then by rare shingles where fingerprints are further apart."""
     return simhash.distinct_documents(docs, WIDTH, SIMILARITY)
 
 

@@ -297,13 +297,32 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("common") >= similarity * union).select("u", "v")
 
 
+def fingerprint_pairs(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """Pairs (u, v) of different texts, by ``whole_text``, that connect exactly what
+    fingerprints within the radius link: each text with the first of its fingerprint, and
+    the first ones of linked fingerprints."""
+    texts = docs.select("text", _whole("text").alias("whole"))
+    marked = with_fingerprint(texts, width=width).select("whole", "fp").distinct()
+    marked = saved(marked, "fingerprints")
+    nodes = saved(marked.groupBy("fp").agg(F.min("whole").alias("first")), "nodes")
+    same = marked.join(nodes, "fp").select(F.col("whole").alias("a"), F.col("first").alias("b"))
+    linked = (
+        links(nodes.select("fp"), radius)
+        .join(nodes.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u")
+        .join(nodes.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    )
+    both = same.unionByName(linked.select("a", "b")).where("a != b")
+    return both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def _similar_links(docs: DataFrame, nodes: int, width: int, similarity: float) -> DataFrame:
     """Links (u, v) between texts, by ``fp``, that connect exactly what all pairs of this
-    similarity connect. Rounds: some members of each bucket are held against the others
+    similarity connect. First the pairs that SimHash links, each held against the whole
+    shingle sets; what these join is not compared again. Then, for what fingerprints alone
+    would miss, rounds: some members of each bucket are held against the others
     of it that are in another component so far; those with the most links, as the
     original of many copies has after the first round, come first, and more each round
     until every pair of a bucket is in one component or has been checked."""
-    spark = docs.sparkSession
     members = saved(_buckets(docs, nodes, width, similarity), "buckets")
     wanted = members.select("fp").distinct()
 
@@ -313,8 +332,9 @@ def _similar_links(docs: DataFrame, nodes: int, width: int, similarity: float) -
 
     texts = docs.select("text", _whole("text").alias("fp")).join(wanted, "fp", "left_semi")
     sets = saved(texts.dropDuplicates(["fp"]).select("fp", shingled("text").alias("s")), "shingles")
-    found = checked = spark.createDataFrame([], "u long, v long")
-    parts = spark.createDataFrame([], "node long, root long")
+    checked = saved(fingerprint_pairs(docs), "fingerprint_pairs")
+    found = saved(_similar(checked, sets, similarity), "links")
+    parts = saved(components(found), "parts")
     roots, turn = FIRST_ROOTS, 0
     while True:
         ends = found.select(F.explode(F.array("u", "v")).alias("node"))
@@ -362,8 +382,9 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     ``similarity`` of their different shingles of ``width`` words.
 
     Texts of the same words in the same order are copies. Others are held against each
-    other by their whole shingle sets if they share one of their rarest shingles, as all
-    texts this similar do, and are not in one component already: no link is missed."""
+    other by their whole shingle sets: first those that SimHash links, then those that
+    share one of their rarest shingles, as all texts this similar do, and are not in one
+    component already: no link is missed."""
     marked = saved(docs.select("doc_id", _whole("text").alias("fp")), "contents")
     nodes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     return _named(marked, nodes, _similar_links(docs, nodes.count(), width, similarity))
