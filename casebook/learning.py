@@ -8,7 +8,6 @@ to the few numbers that plain SQL can also find.
 from __future__ import annotations
 
 from contextlib import contextmanager
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -23,7 +22,7 @@ from tabwright.operators import evaluate, features, index_table, models
 from tabwright.operators.sampling import held, with_split
 from tabwright.plans import sweep as sweep_plan
 from tabwright.plans.prepare import Prepared, prepare
-from tabwright.plans.train import compare
+from tabwright.plans.train import compare, needed
 from tabwright.sources import sinks, tables
 from tabwright.sources.models import load_model, load_pipeline, save_model
 from tabwright.sources.workspace import fresh_path
@@ -35,9 +34,11 @@ def _prepared(spark, sf) -> Prepared:
 
 @contextmanager
 def _training(spark, sf):
-    """(prepared, training rows held for the fits inside the block)."""
+    """(prepared, training rows held for the fits inside the block), dealt to all cores: a
+    fit reads them hundreds of times, and the input may be a file or two."""
     prepared = _prepared(spark, sf)
-    with held(prepared.split("train")) as (train,):
+    cores = spark.sparkContext.defaultParallelism
+    with held(*needed(prepared.split("train"), partitions=cores)) as (train,):
         yield prepared, train
 
 
@@ -166,24 +167,21 @@ def model_roundtrip(spark, sf) -> DataFrame:
     """Raw rows through the stored encoder and each stored model, against the ones
     never stored."""
     test = accounts_split(spark, sf).filter(F.col("split") == "test")
-
-    def same(name: str) -> DataFrame:
-        prepared, model = _fitted(spark, sf, name)
-        encoder_path = save_model(prepared.encoder, fresh_path(spark, "encoder"))
-        model_path = save_model(model, fresh_path(spark, "model"))
-        again = load_pipeline(encoder_path)
-        chosen = {"a": model, "b": load_model(name, model_path)}
-        both = models.score_all(features.encode(test, again, ACCOUNTS), chosen, ["account_id"])
-        per_row = both.groupBy("account_id").agg(
-            (F.max("probability") - F.min("probability")).alias("gap")
-        )
-        return per_row.agg(
-            F.lit(name).alias("Model"),
-            F.count(F.lit(1)).alias("rows"),
-            (F.max("gap") == 0).alias("same_scores"),
-        )
-
-    return reduce(DataFrame.unionByName, map(same, models.MODEL_NAMES))
+    with _training(spark, sf) as (prepared, train):
+        fitted = models.fit_models(train)
+    again = load_pipeline(save_model(prepared.encoder, fresh_path(spark, "encoder")))
+    stored = {
+        f"{name}_stored": load_model(name, save_model(model, fresh_path(spark, "model")))
+        for name, model in fitted.items()
+    }
+    encoded = features.encode(test, again, ACCOUNTS)
+    both = models.score_all(encoded, {**fitted, **stored}, ["account_id"])
+    per_row = both.groupBy("account_id", F.regexp_replace("Model", "_stored$", "").alias("Model")).agg(
+        (F.max("probability") - F.min("probability")).alias("gap")
+    )
+    return per_row.groupBy("Model").agg(
+        F.count(F.lit(1)).alias("rows"), (F.max("gap") == 0).alias("same_scores")
+    )
 
 
 def model_scores(spark, sf) -> DataFrame:
