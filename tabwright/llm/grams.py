@@ -31,6 +31,8 @@ MIN_SUPPORT = 8
 MIN_G2 = 30.0
 #: Words that a task remembers before it starts afresh: 40 MB or so.
 MEMO = 200_000
+#: Grams that a task counts before it hands them on: 10 MB or so.
+COUNTED = 50_000
 #: Bytes of text that are looked up at a time: some 50 MB of arrays.
 BLOCK_BYTES = 1 << 21
 
@@ -158,18 +160,23 @@ def _count(reader_of: Callable[[], Reader]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = reader_of()
         for batch in batches:
-            counts: Counter = Counter()
+            counts: dict[int, Counter] = {}
             for text, label in zip(batch["text"], batch["label"]):
                 grams = {g for w in set(read(text)) for g in grams_of(w)}
-                counts.update((g, int(label)) for g in grams)
-            yield pd.DataFrame(
-                [(g, label, n) for (g, label), n in counts.items()],
-                columns=["gram", "label", "n"],
-            )
+                counts.setdefault(int(label), Counter()).update(grams)
+                if sum(map(len, counts.values())) >= COUNTED:
+                    yield from _rows(counts)
+                    counts = {}
+            yield from _rows(counts)
 
     return run
 
 
+def _rows(counts: dict[int, Counter]) -> Iterator[pd.DataFrame]:
+    for label, of_label in counts.items():
+        yield pd.DataFrame({"gram": list(of_label), "label": label, "n": list(of_label.values())})
+
+
 def _present(reader_of: Callable[[], Reader], vocabulary: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, known = reader_of(), frozenset(vocabulary)

@@ -69,11 +69,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> GramMode
 def with_posteriors(docs: DataFrame, model: GramModel) -> DataFrame:
     """The frame with ``tokens`` (words) and ``posterior`` (array over the domains)."""
 
-    @F.pandas_udf("tokens long, posterior array<double>")
-    def posterior(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("tokens long, posterior array<double>")
+    def posterior(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            tokens, shares = model.shares(pa.array(texts, pa.large_string(), from_pandas=True))
-            yield pd.DataFrame({"tokens": tokens, "posterior": list(shares)})
+            tokens, shares = model.shares(texts)
+            ends = np.arange(len(shares) + 1, dtype=np.int32) * shares.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(shares.ravel()))
+            yield pa.StructArray.from_arrays([pa.array(tokens), lists], ["tokens", "posterior"])
 
     both = docs.withColumn("_mix", posterior("text"))
     return both.withColumns(

@@ -31,6 +31,8 @@ BITS = 64
 #: Buckets up to this size are compared in one go; larger ones are cut by more masks.
 BUCKET = 512
 LEVELS = 8
+#: Texts that a worker takes to their shingles at once.
+SLICE = 512
 #: Texts whose shingles are counted to tell common ones, and how many of these are kept.
 ORDER_DOCS, ORDER_SHINGLES = 4_096, 65_536
 #: Members of a bucket that are held against all of it: first, then (times eight a round).
@@ -86,12 +88,28 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.sort(np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64))
 
 
+def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """So few texts at a time that a worker's arrays of their shingles stay small."""
+    for texts in batches:
+        for at in range(0, len(texts), SLICE):
+            yield texts.iloc[at : at + SLICE]
+
+
+def _shingled(width: int):
+    @F.pandas_udf("array<long>")
+    def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in _slices(batches):
+            yield pd.Series([shingles(t, width) for t in texts])
+
+    return shingled
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
     """The frame with ``fp``, the fingerprint as a signed long."""
 
     @F.pandas_udf(T.LongType())
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in _slices(batches):
             yield pd.Series(
                 np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
             )
@@ -217,10 +235,7 @@ def _common(docs: DataFrame, nodes: int, width: int) -> tuple[np.ndarray, np.nda
     """Shingles that several of about ``ORDER_DOCS`` different texts have, and in how many.
     They only order the shingles: another sample gives other buckets, not other links."""
 
-    @F.pandas_udf("array<long>")
-    def shingled(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, width) for t in texts])
-
+    shingled = _shingled(width)
     drawn = docs.select("text", F.xxhash64("text").alias("h"))
     drawn = drawn.where(F.pmod("h", F.lit(1 << 30)) * F.lit(nodes) < F.lit(ORDER_DOCS << 30))
     each = drawn.dropDuplicates(["h"]).select(F.explode(shingled("text")).alias("s"))
@@ -238,7 +253,7 @@ def _buckets(docs: DataFrame, nodes: int, width: int, similarity: float) -> Data
 
     @F.pandas_udf("fp long, n int, keys array<long>")
     def rarest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in _slices(batches):
             sets = [shingles(t, width) for t in texts]
             yield pd.DataFrame(
                 {
@@ -326,10 +341,7 @@ def _similar_links(docs: DataFrame, nodes: int, width: int, similarity: float) -
     members = saved(_buckets(docs, nodes, width, similarity), "buckets")
     wanted = members.select("fp").distinct()
 
-    @F.pandas_udf("array<long>")
-    def shingled(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, width) for t in texts])
-
+    shingled = _shingled(width)
     texts = docs.select("text", _whole("text").alias("fp")).join(wanted, "fp", "left_semi")
     sets = saved(texts.dropDuplicates(["fp"]).select("fp", shingled("text").alias("s")), "shingles")
     checked = saved(fingerprint_pairs(docs), "fingerprint_pairs")
