@@ -77,12 +77,11 @@ def encode(values: np.ndarray) -> tuple[bytes, np.ndarray]:
     if not n:
         return b"", np.zeros(0, np.int64)
     best = _selectors(values)
-    counts = np.array(COUNTS)[best]
-    step = (np.arange(n) + counts).tolist()
+    step = np.array(COUNTS, np.uint8)[best].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)
-        i = step[i]
+        i += step[i]
     starts = np.array(starts)
     chosen = best[starts]
     whole = (chosen == 15) & (values[starts] >= np.uint64(ESCAPE))
@@ -95,11 +94,12 @@ def encode(values: np.ndarray) -> tuple[bytes, np.ndarray]:
             continue
         word = np.full(len(rows), s << 60, np.uint64)
         if s > 1:
-            lanes = padded[starts[rows, None] + np.arange(COUNTS[s])]
-            if s == 15:
-                lanes = np.minimum(lanes, np.uint64(ESCAPE))
-            shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
-            word |= np.bitwise_or.reduce(lanes << shifts, axis=1)
+            at = starts[rows]
+            for lane in range(COUNTS[s]):
+                value = padded[at + lane]
+                if s == 15:
+                    value = np.minimum(value, np.uint64(ESCAPE))
+                word |= value << np.uint64(lane * WIDTHS[s])
         out[place[rows]] = word
     out[place[whole] + 1] = values[starts[whole]]
     before = np.full(len(out), -1, np.int64)
@@ -132,9 +132,10 @@ def decode(data: bytes, n: int) -> np.ndarray:
         rows = np.flatnonzero((selectors == s) & ~whole & (counts > 0))
         if not len(rows):
             continue
-        shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
+        at, words_of_it = starts[rows], stream[rows]
         mask = np.uint64((1 << WIDTHS[s]) - 1)
-        out[starts[rows, None] + np.arange(COUNTS[s])] = (stream[rows, None] >> shifts) & mask
+        for lane in range(COUNTS[s]):
+            out[at + lane] = (words_of_it >> np.uint64(lane * WIDTHS[s])) & mask
     out[starts[whole]] = stream[whole]
     return out[:n]
 
