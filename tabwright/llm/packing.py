@@ -58,13 +58,17 @@ class Packer:
         needs = np.array([(len(i[2]), 1, int(i[3].sum())) for i in items], np.float64)
         taken = np.zeros(len(items), np.int64)
         waiting = np.ones(len(items), bool)
-        while waiting.any():
+        places, left = np.arange(len(items)), len(items)
+        while left:
+            if 2 * left < len(places):  # go on with the rows that wait
+                places, needs, waiting = places[waiting], needs[waiting], waiting[waiting]
             if self.room.min() < 1 and (self.room[0] < 1 or self.room[1] < 1):
                 self._next()
             share = (needs / self.limits) @ (self.room / self.limits)
             fits = waiting & (needs <= self.room).all(axis=1)
             some = bool(fits.any())
-            k = int(np.argmax(np.where(fits if some else waiting, share, -1.0)))
+            at = int(np.argmax(np.where(fits if some else waiting, share, -1.0)))
+            k = int(places[at])
             doc, first, ids, loss, _ = items[k]
             begin = int(taken[k])
             size = len(ids) - begin
@@ -80,8 +84,9 @@ class Packer:
             out.append((k, begin, size, used, self.sequence, offset))
             self.room -= (size, 1, used)
             taken[k] += size
-            needs[k] -= (size, 0, used)
-            waiting[k] = taken[k] < len(ids)
+            needs[at] -= (size, 0, used)
+            waiting[at] = taken[k] < len(ids)
+            left -= not waiting[at]
         return out
 
 
