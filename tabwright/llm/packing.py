@@ -30,6 +30,8 @@ LENGTH = 2_048
 SEGMENTS = 256
 #: Pieces that wait in a task at once.
 WINDOW = 2_048
+#: Characters whose words are encoded together; the waiting rows take memory, too.
+CHARS = 1 << 20
 PIECE = (
     "doc_id long, start long, length long, doc_tokens long, loss_tokens long, "
     "sequence_id long, offset long, ids binary"
@@ -99,10 +101,10 @@ def _pack(path: str, lower: bool, end_id: int, limits: tuple[int, int, int], win
             for at in range(0, len(batch), window):
                 part = batch.iloc[at : at + window]
                 items = []
-                texts = zip(encoded(part["text"]), part["loss"])
+                texts = zip(encoded(part["text"], CHARS), part["loss"])
                 for place, (text, bearing) in enumerate(texts):
                     ids = np.frombuffer(text + end, "<u4")
-                    loss = np.full(len(ids), bearing, np.int64)
+                    loss = np.broadcast_to(np.int64(bearing), len(ids))
                     items.append((place, 0, ids, loss, len(ids)))
                 doc_ids, named = part["doc_id"].to_numpy(), part["named"].to_numpy()
                 rows = [

@@ -84,8 +84,14 @@ def _gathered(parts: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[
     """The parts of a row, which have these sizes, in another order, and their ends."""
     many = sizes[order]
     ends = np.cumsum(many)
-    shift = (np.cumsum(sizes) - sizes)[order] - (ends - many)
-    return parts[np.repeat(shift, many) + np.arange(many.sum())], ends
+    starts = (np.cumsum(sizes) - sizes)[order]
+    out, done = np.empty(int(many.sum()), parts.dtype), 0
+    for at in range(0, len(order), 1 << 16):  # so many at a time that the places are few
+        some, end = many[at : at + (1 << 16)], ends[at : at + (1 << 16)]
+        places = np.repeat(starts[at : at + (1 << 16)] - (end - some), some)
+        out[done : end[-1]] = parts[places + np.arange(done, end[-1])]
+        done = end[-1]
+    return out, ends
 
 
 class Words(dict):
@@ -190,14 +196,15 @@ class Words(dict):
             data = ids.tobytes()
             self._remember(block, [data[a:b] for a, b in zip(starts, ends)])
 
-    def texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Packed ids of each of the texts, a block of them at a time."""
+    def texts(self, texts: Iterable[str | None], chars: int | None = None) -> Iterator[bytes]:
+        """Packed ids of each of the texts, a block of so many characters at a time."""
+        chars = chars or BLOCK_CHARS
         block: list[str | None] = []
         size = 0
         for text in texts:
             block.append(text)
             size += len(text or "")
-            if size >= BLOCK_CHARS:
+            if size >= chars:
                 yield from self._block(block)
                 block, size = [], 0
         yield from self._block(block)
