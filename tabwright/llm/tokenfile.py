@@ -36,6 +36,8 @@ WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 #: A word of the last selector with this payload is followed by a whole 64-bit id.
 ESCAPE = (1 << 60) - 1
 STRIDE = 256
+#: Ids that are cut into words at a time.
+WINDOW = 1 << 17
 #: A block is closed at the end of the document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
 BLOCK = (
@@ -70,6 +72,28 @@ def _selectors(values: np.ndarray) -> np.ndarray:
     return best
 
 
+def _starts(step: np.ndarray) -> np.ndarray:
+    """The ids at which words begin, if one that begins at i has step[i] ids: every 32nd
+    word one behind the other, those between from it by 16, 8, 4, 2 and 1 words."""
+    found, i = [np.zeros(0, np.int64)], 0
+    while i < len(step):
+        own = step[i : i + WINDOW].astype(np.int64)
+        size = len(own)
+        jumps = [np.append(np.minimum(np.arange(size) + own, size), size)]
+        for _ in range(5):
+            jumps.append(jumps[-1][jumps[-1]])
+        at = [0]
+        while (following := int(jumps[-1][at[-1]])) < size:
+            at.append(following)
+        at = np.array(at)
+        for jump in jumps[-2::-1]:
+            at = np.column_stack([at, jump[at]]).ravel()
+        at = at[at < size]
+        found.append(i + at)
+        i += int(at[-1] + own[at[-1]])
+    return np.concatenate(found)
+
+
 def encode(values: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Little-endian words of unsigned 64-bit ids, and the ids before every 256th."""
     values = np.asarray(values, np.uint64)
@@ -77,12 +101,7 @@ def encode(values: np.ndarray) -> tuple[bytes, np.ndarray]:
     if not n:
         return b"", np.zeros(0, np.int64)
     best = _selectors(values)
-    step = np.array(COUNTS, np.uint8)[best].tobytes()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += step[i]
-    starts = np.array(starts)
+    starts = _starts(np.array(COUNTS, np.uint8)[best])
     chosen = best[starts]
     whole = (chosen == 15) & (values[starts] >= np.uint64(ESCAPE))
     place = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(whole)[:-1]])

@@ -5,10 +5,11 @@ join of its words' ids, as packed 32-bit numbers. That is exact only where the t
 never joins characters across the cut, so the cuts are those of its own rules, and a
 text (or word) that leaves them is encoded as it is. The words of a block of texts are
 told apart as one column, each different one is cut into its letters and its signs, and
-the different pieces go to the vocabulary's own algorithm together; the texts are then
-gathered from their ids. Other words are remembered, and those that are not are encoded
-as one text whose ids say where a word begins or ends. What a worker remembers is
-bounded by bytes: it forgets the words that it has not met since it last did so.
+the different pieces that are not remembered go to the vocabulary's own algorithm together;
+the texts are then gathered from their ids. Other words are remembered, and those that are
+not are encoded as one text whose ids say where a word begins or ends. What a worker
+remembers is bounded by bytes: it forgets the words that it has not met since it last did
+so, and the pieces that the fewest blocks had.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow.compute as pc
 
 #: Bytes that a worker remembers, and what a word takes besides its letters and ids.
 MEMO_BYTES, WORD_BYTES = 96 << 20, 190
+#: The same of pieces, which are remembered as columns.
+PIECE_BYTES, PIECE_ROW = 16 << 20, 20
 #: Characters of the texts, and words, that are looked at together.
 BLOCK_CHARS, BLOCK_WORDS = 1 << 22, 2_048
 #: Letters (but the one whose lower case is two characters), then signs.
@@ -106,6 +109,11 @@ class Words(dict):
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.before: dict[str, bytes] = {}  # what was remembered until it was too much
         self.held = 0
+        #: Pieces that are remembered, their ids, how many each has, and in how many blocks
+        #: each was met.
+        self.known = pa.array([], pa.large_string())
+        self.known_ids, self.known_sizes = np.zeros(0, "<u4"), np.zeros(0, np.int32)
+        self.met = np.zeros(0, np.int32)
         space = self.letters[ord(" ")]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Ids that end a word (lower-cased words have an end mark) or begin one.
@@ -191,17 +199,21 @@ class Words(dict):
             self._remember(block, [data[a:b] for a, b in zip(starts, ends)])
 
     def texts(self, texts: Iterable[str | None], chars: int | None = None) -> Iterator[bytes]:
-        """Packed ids of each of the texts, a block of so many characters at a time."""
+        """Packed ids of each of the texts, a block of so many characters at a time. In the
+        end Arrow gives back what it holds and does not use."""
         chars = chars or BLOCK_CHARS
         block: list[str | None] = []
         size = 0
-        for text in texts:
-            block.append(text)
-            size += len(text or "")
-            if size >= chars:
-                yield from self._block(block)
-                block, size = [], 0
-        yield from self._block(block)
+        try:
+            for text in texts:
+                block.append(text)
+                size += len(text or "")
+                if size >= chars:
+                    yield from self._block(block)
+                    block, size = [], 0
+            yield from self._block(block)
+        finally:
+            pa.default_memory_pool().release_unused()
 
     def _block(self, block: list[str | None]) -> Iterator[bytes]:
         texts, odd = pa.array(block, pa.large_string(), from_pandas=True).fill_null(""), {}
@@ -243,12 +255,12 @@ class Words(dict):
             nul, none = (pa.scalar(x, signs.type) for x in ("\0", ""))
             signs = pc.binary_join_element_wise(nul, signs, none)
         pieces = pa.concat_arrays([stems, signs]).dictionary_encode()
-        ids, sizes = self._pieces(pieces.dictionary)
+        ids, sizes, row = self._pieces(pieces.dictionary)
         rest = distinct.filter(pa.array(~known)).to_pylist()
         self._learn(set(rest).difference(self))
         many = len(distinct) + len(others)
         places = np.full((many, 2), -1)  # of a word's letters, or of all of it, and of its signs
-        code = pieces.indices.to_numpy()
+        code = row[pieces.indices.to_numpy()]
         places[: len(distinct), 0][known] = code[: len(stems)]
         places[has_signs, 1] = code[len(stems) :]
         places[: len(distinct), 0][~known] = len(sizes) + np.arange(len(rest))
@@ -259,7 +271,34 @@ class Words(dict):
         found, _ = _gathered(ids, sizes, places[places >= 0])
         return found, sizes[places].sum(axis=1)
 
-    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, ...]:
+        """Ids of pieces, one behind the other, how many each has, and the place of each of
+        these pieces, which are different, among them."""
+        place = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        place[new] = len(self.known) + np.arange(len(new))
+        fresh = pieces.take(pa.array(new))
+        ids, sizes = self._encoded(fresh)
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.known_ids = ids = np.concatenate([self.known_ids, ids])
+        self.known_sizes = sizes = np.concatenate([self.known_sizes, sizes.astype(np.int32)])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
+        self.met[place] += 1
+        self._forget()
+        return ids, sizes, place
+
+    def _forget(self) -> None:
+        """Keep the pieces that most blocks had, if there are too many."""
+        held = pc.binary_length(self.known).to_numpy() + 4 * self.known_sizes + PIECE_ROW
+        if held.sum() <= PIECE_BYTES:
+            return
+        order = np.argsort(-self.met, kind="stable")
+        keep = np.sort(order[np.cumsum(held[order]) <= PIECE_BYTES // 2])
+        self.known = self.known.take(pa.array(keep))
+        self.known_ids, _ = _gathered(self.known_ids, self.known_sizes, keep)
+        self.known_sizes, self.met = self.known_sizes[keep], self.met[keep] // 2
+
+    def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the pieces, one behind the other, and how many each has. Each is a
         piece for the tokenizer, too."""
         letters = pc.binary_length(pieces).to_numpy().astype(np.int64)
