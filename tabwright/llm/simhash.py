@@ -312,13 +312,25 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("common") >= similarity * union).select("u", "v")
 
 
+def _marked(docs: DataFrame, width: int) -> DataFrame:
+    """(whole, fp) of each text, from one function: two in a row would take two Python
+    workers for a task, which the executor keeps."""
+
+    @F.pandas_udf("whole long, fp long")
+    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in _slices(batches):
+            fps = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
+            whole = np.array([whole_text(t) for t in texts], np.int64)
+            yield pd.DataFrame({"whole": whole, "fp": fps})
+
+    return docs.select(marks("text").alias("m")).select("m.whole", "m.fp")
+
+
 def fingerprint_pairs(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """Pairs (u, v) of different texts, by ``whole_text``, that connect exactly what
     fingerprints within the radius link: each text with the first of its fingerprint, and
     the first ones of linked fingerprints."""
-    texts = docs.select("text", _whole("text").alias("whole"))
-    marked = with_fingerprint(texts, width=width).select("whole", "fp").distinct()
-    marked = saved(marked, "fingerprints")
+    marked = saved(_marked(docs, width).distinct(), "fingerprints")
     nodes = saved(marked.groupBy("fp").agg(F.min("whole").alias("first")), "nodes")
     same = marked.join(nodes, "fp").select(F.col("whole").alias("a"), F.col("first").alias("b"))
     linked = (
