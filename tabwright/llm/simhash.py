@@ -35,6 +35,8 @@ LEVELS = 8
 SLICE = 512
 #: Texts whose shingles are counted to tell common ones, and how many of these are kept.
 ORDER_DOCS, ORDER_SHINGLES = 4_096, 65_536
+#: Bits of a text's sketch for each of its different shingles.
+SKETCH_BITS = 4
 #: Members of a bucket that are held against all of it: first, then (times eight a round).
 FIRST_ROOTS, SECOND_ROOTS = 16, 4
 
@@ -88,6 +90,23 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.sort(np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64))
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """One bit for each slot that holds an odd number of a set's hashes. The slots are a
+    power of two, so a larger sketch folds to that of fewer slots."""
+    slots = max(64, 1 << (SKETCH_BITS * len(hashes) - 1).bit_length())
+    at = (hashes.view(np.uint64) & np.uint64(slots - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=slots) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def apart(one: bytes, other: bytes) -> int:
+    """The slots odd in one of two sketches only: never more than the hashes that only one
+    of their sets has, as those in both cancel out."""
+    small, large = sorted((np.frombuffer(s, np.uint8) for s in (one, other)), key=len)
+    folded = np.bitwise_xor.reduce(large.reshape(-1, len(small)))
+    return int(np.bitwise_count(folded ^ small).sum())
+
+
 def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """So few texts at a time that a worker's arrays of their shingles stay small."""
     for texts in batches:
@@ -96,14 +115,31 @@ def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def _shingled(width: int):
-    @F.pandas_udf("array<long>")
-    def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("fp long, s array<long>")
+    def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in _slices(batches):
-            yield pd.Series([shingles(t, width) for t in texts])
+            fps = np.array([whole_text(t) for t in texts], np.int64)
+            yield pd.DataFrame({"fp": fps, "s": [shingles(t, width) for t in texts]})
 
     return shingled
 
 
+def _sketched(width: int):
+    @F.pandas_udf("fp long, n int, sketch binary")
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in _slices(batches):
+            sets = [shingles(t, width) for t in texts]
+            yield pd.DataFrame(
+                {
+                    "fp": np.array([whole_text(t) for t in texts], np.int64),
+                    "n": np.array([len(s) for s in sets], np.int32),
+                    "sketch": [sketch(s) for s in sets],
+                }
+            )
+
+    return sketched
+
+
 def with_fingerprint(df: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
     """The frame with ``fp``, the fingerprint as a signed long."""
 
@@ -238,7 +274,7 @@ def _common(docs: DataFrame, nodes: int, width: int) -> tuple[np.ndarray, np.nda
     shingled = _shingled(width)
     drawn = docs.select("text", F.xxhash64("text").alias("h"))
     drawn = drawn.where(F.pmod("h", F.lit(1 << 30)) * F.lit(nodes) < F.lit(ORDER_DOCS << 30))
-    each = drawn.dropDuplicates(["h"]).select(F.explode(shingled("text")).alias("s"))
+    each = drawn.dropDuplicates(["h"]).select(F.explode(shingled("text")["s"]).alias("s"))
     counted = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     rows = counted.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).collect()
     rows.sort()
@@ -301,10 +337,51 @@ def _open_pairs(roots: int, similarity: float):
     return run
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose whole shingle sets are this similar."""
+def _row() -> Column:
+    """Tells rows apart, so that a text is fetched once however many copies it has."""
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
+def _sketches(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(fp, row, n, sketch) of the wanted texts: one row that has the text, its number of
+    different shingles and their sketch, some 1/16 of the shingles in size."""
+    marks = docs.select(_row(), _sketched(width)("text").alias("m")).select("row", "m.*")
+    each = marks.groupBy("fp").agg(
+        F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+    )
+    return each.join(wanted, "fp", "left_semi")
+
+
+def _may_be(similarity: float):
+    """Whether two texts may be this similar by their numbers of shingles and sketches."""
+
+    @F.pandas_udf("boolean")
+    def may_be(n: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
+        differing = np.array([apart(a, b) for a, b in zip(one, other)], np.float64)
+        return pd.Series(differing * (1 + similarity) <= n * (1 - similarity) + 1e-6)
+
+    return may_be
+
+
+def _similar(
+    pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, similarity: float
+) -> DataFrame:
+    """The pairs (u, v) whose whole shingle sets are this similar. Sketches rule out most
+    of the others; only the texts of what they leave are fetched, and held against each
+    other by their sets."""
+    mark = F.struct("row", "n", "sketch")
+    met = pairs.join(sketches.select(F.col("fp").alias("u"), mark.alias("a")), "u").join(
+        sketches.select(F.col("fp").alias("v"), mark.alias("b")), "v"
+    )
+    may_be = _may_be(similarity)(F.col("a.n") + F.col("b.n"), "a.sketch", "b.sketch")
+    left = met.where(may_be).select("u", "v", F.array("a.row", "b.row").alias("rows"))
+    left = saved(left, "near_pairs")
+    rows = saved(left.select(F.explode("rows").alias("row")).distinct(), "near_rows")
+    texts = docs.select("text", _row()).join(rows, "row", "left_semi")
+    sets = texts.select(_shingled(width)("text").alias("m")).select("m.fp", "m.s")
+    sets = saved(sets.dropDuplicates(["fp"]), "shingles")
     both = (
-        pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u")
+        left.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u")
         .join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
         .withColumn("common", F.size(F.array_intersect("a", "b")))
     )
@@ -353,11 +430,9 @@ def _similar_links(docs: DataFrame, nodes: int, width: int, similarity: float) -
     members = saved(_buckets(docs, nodes, width, similarity), "buckets")
     wanted = members.select("fp").distinct()
 
-    shingled = _shingled(width)
-    texts = docs.select("text", _whole("text").alias("fp")).join(wanted, "fp", "left_semi")
-    sets = saved(texts.dropDuplicates(["fp"]).select("fp", shingled("text").alias("s")), "shingles")
+    sketches = saved(_sketches(docs, wanted, width), "sketches")
     checked = saved(fingerprint_pairs(docs), "fingerprint_pairs")
-    found = saved(_similar(checked, sets, similarity), "links")
+    found = saved(_similar(checked, sketches, docs, width, similarity), "links")
     parts = saved(components(found), "parts")
     roots, turn = FIRST_ROOTS, 0
     while True:
@@ -377,7 +452,7 @@ def _similar_links(docs: DataFrame, nodes: int, width: int, similarity: float) -
             break
         pairs = still.mapInPandas(_open_pairs(roots, similarity), "u long, v long").distinct()
         pairs = saved(pairs.join(checked, ["u", "v"], "left_anti"), "pairs")
-        linked = saved(_similar(pairs, sets, similarity), "links")
+        linked = saved(_similar(pairs, sketches, docs, width, similarity), "links")
         found, checked = found.unionByName(linked), checked.unionByName(pairs)
         if roots >= largest:
             break
