@@ -37,3 +37,15 @@ def test_only_texts_that_may_be_similar_are_fetched(spark, monkeypatch):
     assert {r["fp"] for table in kept["shingles"] for r in table.collect()} == {
         simhash.whole_text(texts[i]) for i in (0, 1, 60, 61)
     }
+
+
+def test_sketches_are_made_once(spark, capsys):
+    texts = ["a b c d e f g", "A b c d  e f g", "x y z", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = spark.createDataFrame([(simhash.whole_text(t),) for t in texts[1:3]], "fp long")
+    made = simhash._sketches(docs, wanted, 5)
+    made.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    found = {r["fp"]: (r["n"], bytes(r["sketch"])) for r in made.collect()}
+    sets = {simhash.whole_text(t): simhash.shingles(t, 5) for t in texts[1:3]}
+    assert found == {fp: (len(s), simhash.sketch(s)) for fp, s in sets.items()}
